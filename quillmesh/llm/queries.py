@@ -10,8 +10,10 @@ from .common import table
 from .cotraining import cotraining
 from .decontaminate import decontaminate
 from .html_main import extract_main
+from .ngram_join import ngram_join
 from .packing import pack
 from .quality_rules import quality_rules
+from .sharding import shard
 from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
 from .url_filter import url_filter
@@ -45,6 +47,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "n_near")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,8 +59,18 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith("op") or name == "pipeline"}
 
 
 def oracle_sql() -> dict[str, str]:
