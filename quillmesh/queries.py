@@ -1,9 +1,462 @@
-"""Registered queries of the graph-inference engine."""
+"""Registered queries of the graph-inference engine: one for each operator, over the customer-supplier graph."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+import math
+import tempfile
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from .config import Config, Strategy
+from .functions.rng import exponential, normal, uniform
+from .operators import beta as B
+from .operators import evaluate as E
+from .operators import graph as G
+from .operators import initial as I
+from .operators import membership as M
+from .operators import phi as P
+from .operators import primitives as R
+from .operators import samplers as S
+from .operators.split import Split, split_edges, training_ppx_edges
+from .plans.learner import Learner
+from .session import ship
+from .sources import edges as X
+from .storage import shared_dir, stored
+
+CONFIG = Config(k=8, mini_batch=16, neighbors=8, heldout_ratio=0.1, train_ppx_ratio=0.02, seed=42, prefetch=False)
+STEP = 1
+DIGITS = 6
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__.lstrip("_")] = lambda spark, sf_dir: f(ship(spark), sf_dir)
+    return f
+
+
+def r(c: str | Column) -> Column:
+    """Rounded, and without a negative zero."""
+    return F.round(F.col(c) if isinstance(c, str) else c, DIGITS) + F.lit(0.0)
+
+
+def longs(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in cols})
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return stored(X.customer_supplier(spark, d), "edges")
+
+
+def _dense(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    edges = _edges(spark, d)
+    ids = stored(G.vertex_ids(edges), "ids")
+    return stored(G.dense(edges, ids), "dense"), ids.count()
+
+
+def _split(spark: SparkSession, d: str) -> Split:
+    edges, n = _dense(spark, d)
+    return split_edges(edges, n, CONFIG.heldout_ratio, CONFIG.seed)
+
+
+def _state(spark: SparkSession, split: Split) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """pi in long form, theta, beta."""
+    pi = stored(I.long_form(I.pi_table(spark, split.n_vertices, CONFIG)), "pi-long")
+    theta = I.theta_table(spark, I.theta_rows(CONFIG))
+    return pi, theta, I.beta_normalize(theta)
+
+
+def _batch(split: Split, t: int = STEP) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """Edges, nodes, neighbours and weight of a NodeLink step."""
+    batch = S.node_link(split, CONFIG, t)
+    edges = stored(batch.edges, "batch")
+    nodes = stored(G.ends_of(edges), "nodes")
+    return edges, nodes, S.neighbor_sample(nodes, split.n_vertices, CONFIG.neighbors, CONFIG.seed, t), batch.weight
+
+
+@query
+def edges_canonical(spark, d):
+    return X.customer_supplier(spark, d)
+
+
+@query
+def vertex_ids(spark, d):
+    return G.vertex_ids(_edges(spark, d))
+
+
+@query
+def edges_dense(spark, d):
+    return _dense(spark, d)[0]
+
+
+@query
+def edges_part_supplier(spark, d):
+    return X.part_supplier(spark, d)
+
+
+@query
+def edges_co_ordered(spark, d):
+    return X.co_ordered(spark, d)
+
+
+@query
+def degree(spark, d):
+    return G.degree(_dense(spark, d)[0])
+
+
+@query
+def max_fan_out(spark, d):
+    return G.max_fan_out(_dense(spark, d)[0])
+
+
+@query
+def adjacency(spark, d):
+    return G.adjacency(_dense(spark, d)[0]).select("n", F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("neighbors"))
+
+
+@query
+def neighbors_of(spark, d):
+    edges, _ = _dense(spark, d)
+    return G.neighbors_of(edges, spark.range(0, 50, 7).withColumnRenamed("id", "n"))
+
+
+@query
+def random_edge(spark, d):
+    return G.random_edge(_dense(spark, d)[0], CONFIG.seed)
+
+
+@query
+def edges_shuffled(spark, d):
+    return G.shuffled(_dense(spark, d)[0], CONFIG.seed).select("u", "v", F.col("pos").cast("long").alias("pos"))
+
+
+@query
+def split_counts(spark, d):
+    s = _split(spark, d)
+    h = s.heldout.agg(F.sum("y").alias("n_heldout_links"), F.sum(1 - F.col("y")).alias("n_heldout_nonlinks"))
+    return s.train.agg(F.count(F.lit(1)).alias("n_train")).crossJoin(h).withColumn("n_edges", F.lit(s.n_edges).cast("long"))  # one row each
+
+
+@query
+def split_train(spark, d):
+    return _split(spark, d).train
+
+
+@query
+def heldout_links(spark, d):
+    return _split(spark, d).heldout_links
+
+
+@query
+def heldout_nonlinks(spark, d):
+    return _split(spark, d).heldout_nonlinks
+
+
+@query
+def training_ppx_set(spark, d):
+    return longs(training_ppx_edges(_split(spark, d), CONFIG.train_ppx_ratio, CONFIG.seed), "y")
+
+
+def _probes(split: Split) -> DataFrame:
+    """Pairs of which some are training edges: held-out pairs, and training edges in the wrong orientation."""
+    return split.heldout.select("u", "v").union(split.train.where("u % 10 = 3").select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+@query
+def membership_flag(spark, d):
+    s = _split(spark, d)
+    return longs(M.flag(_probes(s), s.train), "y")
+
+
+@query
+def membership_semi(spark, d):
+    s = _split(spark, d)
+    return M.members(_probes(s), s.train)
+
+
+@query
+def membership_anti(spark, d):
+    s = _split(spark, d)
+    return M.others(_probes(s), s.train)
+
+
+def _sample(strategy: Strategy) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        batch = S.SAMPLERS[strategy](_split(spark, d), CONFIG, STEP)
+        return batch.edges.select("u", "v", r(F.lit(batch.weight)).alias("weight"))
+
+    return run
+
+
+for _name, _strategy in (("sample_node_link", Strategy.NODE_LINK), ("sample_node_nonlink", Strategy.NODE_NON_LINK), ("sample_node", Strategy.NODE), ("sample_bf_link", Strategy.BF_LINK), ("sample_bf_nonlink", Strategy.BF_NON_LINK), ("sample_bf", Strategy.BF)):
+    QUERIES[_name] = lambda spark, d, f=_sample(_strategy): f(ship(spark), d)
+
+
+@query
+def minibatch_nodes(spark, d):
+    return _batch(_split(spark, d))[1]
+
+
+@query
+def neighbor_sample(spark, d):
+    return _batch(_split(spark, d))[2]
+
+
+@query
+def row_gather(spark, d):
+    s = _split(spark, d)
+    pi, _, _ = _state(spark, s)
+    return longs(R.matrix_row(pi, _batch(s)[1]).select("n", "k", r("p").alias("p"), r("phi_sum").alias("phi_sum")), "k")
+
+
+@query
+def uniform_draws(spark, d):
+    return spark.range(1000).select("id", r(uniform("test", CONFIG.seed, F.col("id"))).alias("x"))
+
+
+@query
+def normal_draws(spark, d):
+    return spark.range(1000).select("id", r(normal("test", CONFIG.seed, F.col("id"))).alias("x"))
+
+
+@query
+def integer_draws(spark, d):
+    from .functions.rng import randint
+
+    return spark.range(1000).select("id", randint(17, "test", CONFIG.seed, F.col("id")).alias("x"))
+
+
+@query
+def gamma_init(spark, d):
+    return spark.range(1000).select("id", r(exponential(1.0, "test", CONFIG.seed, F.col("id"))).alias("x"))
+
+
+@query
+def gamma_init_general(spark, d):
+    """Shape 2.5 and scale 0.5 have no closed form: rows only."""
+    return I.gamma_cells(spark, 200, 5, 2.5, 0.5, "general", CONFIG.seed)
+
+
+@query
+def pi_init(spark, d):
+    _, n = _dense(spark, d)
+    return longs(I.long_form(I.pi_table(spark, n, CONFIG)).select("n", "k", r("p").alias("p"), r("phi_sum").alias("phi_sum")), "k")
+
+
+@query
+def theta_init(spark, d):
+    return longs(I.theta_table(spark, I.theta_rows(CONFIG)).select("k", r("t0").alias("t0"), r("t1").alias("t1")), "k")
+
+
+@query
+def beta_normalize(spark, d):
+    return longs(I.beta_normalize(I.theta_table(spark, I.theta_rows(CONFIG))).select("k", r("b0").alias("b0"), r("b1").alias("b1")), "k")
+
+
+@query
+def theta_sum(spark, d):
+    return longs(I.theta_sum(I.theta_table(spark, I.theta_rows(CONFIG))).select("k", r("total").alias("total")), "k")
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").cast("long").alias("n"), F.col("l_quantity").cast("double").alias("x"))
+
+
+@query
+def segment_sum(spark, d):
+    return R.segment_sum(_lines(spark, d)).select("n", r("total").alias("total"))
+
+
+@query
+def segment_normalize(spark, d):
+    s = R.segment_normalize(_lines(spark, d), total="total")
+    return s.groupBy("n").agg(r(F.sum("x")).alias("one"), r(F.max("x")).alias("top"), r(F.max("total")).alias("total"))
+
+
+@query
+def sort_values(spark, d):
+    return R.sort_values(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").cast("long").alias("x")))
+
+
+@query
+def reduce_sums(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_quantity").cast("double").alias("q"), F.col("l_suppkey").cast("double").alias("s"))
+    return R.reduce_sums(li, "q", "s").select(r("q").alias("q"), r("s").alias("s"))
+
+
+@query
+def matrix_alloc(spark, d):
+    return R.matrix(spark, 90, 11, lambda n, j: n * 100 + j).select("n", F.aggregate("row", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("row").cast("long").alias("cols"))
+
+
+@query
+def eps_schedule(spark, d):
+    eps = F.lit(CONFIG.a) * F.pow(1 + F.col("t") / CONFIG.b, F.lit(-CONFIG.c))
+    return spark.range(1, 2001).withColumnRenamed("id", "t").select("t", F.round(eps, 12).alias("eps"))
+
+
+@query
+def vector_functions(spark, d):
+    from .functions import vectors as V
+
+    base = spark.range(1, 200).select("id", F.array(*[(F.col("id") * (j + 1) / 7.0 - 11).cast("double") for j in range(4)]).alias("a"), F.array(*[(F.col("id") + j).cast("double") for j in range(4)]).alias("b"))
+    return base.select(
+        "id", r(V.vsum(V.vfabs("a"))).alias("abs_sum"), r(V.vsum(V.vmax(F.col("a"), F.col("b")))).alias("max_sum"), r(V.vsum(V.vmul(F.col("a"), F.col("b")))).alias("dot"),
+        r(V.vsum(V.vadd(V.vsqrt("b"), V.splat(F.lit(1.0), 4)))).alias("sqrt_sum"), r(V.vsum(V.vlog("b"))).alias("log_sum"), r(V.vsum(V.vdiv(V.vsub(F.col("a"), F.col("b")), F.col("b")))).alias("rel"),
+        V.pack_edge(V.low(F.col("id"), F.lit(77)), V.high(F.col("id"), F.lit(77))).cast("long").alias("packed"),
+    )
+
+
+def _gradient(spark: SparkSession, s: Split):
+    pi, theta, beta = _state(spark, s)
+    edges, nodes, neighbors, weight = _batch(s)
+    return pi, theta, beta, edges, weight, stored(P.phi_gradient(neighbors, pi, beta, s.train, CONFIG.epsilon), "phi-gradient")
+
+
+@query
+def phi_gradient(spark, d):
+    g = _gradient(spark, _split(spark, d))[-1]
+    return longs(g.select("n", "k", r("g").alias("g")), "k")
+
+
+@query
+def phi_update(spark, d):
+    s = _split(spark, d)
+    pi, *_, g = _gradient(spark, s)
+    return longs(P.phi_update(g, pi, s.n_vertices, CONFIG, STEP).select("n", "k", r("phi").alias("phi")), "k")
+
+
+def _new_pi(spark: SparkSession, s: Split):
+    pi, theta, beta, edges, weight, g = _gradient(spark, s)
+    new = stored(P.pi_update(P.phi_update(g, pi, s.n_vertices, CONFIG, STEP)), "pi-new")
+    whole = pi.join(new.select("n", "k", F.col("p").alias("np"), F.col("phi_sum").alias("ns")), ["n", "k"], "left").select("n", "k", F.coalesce("np", "p").alias("p"), F.coalesce("ns", "phi_sum").alias("phi_sum"))
+    return stored(whole, "pi-long"), new, theta, beta, edges, weight
+
+
+@query
+def pi_update(spark, d):
+    new = _new_pi(spark, _split(spark, d))[1]
+    return longs(new.select("n", "k", r("p").alias("p"), r("phi_sum").alias("phi_sum")), "k")
+
+
+@query
+def theta_gradient(spark, d):
+    s = _split(spark, d)
+    pi, _, theta, _, edges, _ = _new_pi(spark, s)
+    return longs(B.theta_gradient(edges, pi, theta, s.train, CONFIG.epsilon).select("k", r("g0").alias("g0"), r("g1").alias("g1")), "k")
+
+
+@query
+def theta_update(spark, d):
+    s = _split(spark, d)
+    pi, _, theta, _, edges, weight = _new_pi(spark, s)
+    g = B.theta_gradient(edges, pi, theta, s.train, CONFIG.epsilon)
+    return longs(B.theta_update(g, theta, weight, CONFIG, STEP).select("k", r("t0").alias("t0"), r("t1").alias("t1")), "k")
+
+
+@query
+def edge_likelihood(spark, d):
+    s = _split(spark, d)
+    pi, _, beta = _state(spark, s)
+    return longs(E.edge_likelihood(s.heldout, pi, beta, CONFIG.epsilon).select("u", "v", "y", r("l").alias("l")), "y")
+
+
+def _ppx(df: DataFrame) -> DataFrame:
+    return longs(df.select("n_link", "n_nonlink", r("ll_link").alias("ll_link"), r("ll_nonlink").alias("ll_nonlink"), r("ppx").alias("ppx")), "n_link", "n_nonlink")
+
+
+@query
+def heldout_perplexity(spark, d):
+    s = _split(spark, d)
+    pi, _, beta = _state(spark, s)
+    return _ppx(E.perplexity(E.perplexity_parts(E.running_mean(None, E.edge_likelihood(s.heldout, pi, beta, CONFIG.epsilon), 1))))
+
+
+@query
+def training_perplexity(spark, d):
+    s = _split(spark, d)
+    pi, _, beta = _state(spark, s)
+    edges = training_ppx_edges(s, CONFIG.train_ppx_ratio, CONFIG.seed)
+    return _ppx(E.perplexity(E.perplexity_parts(E.running_mean(None, E.edge_likelihood(edges, pi, beta, CONFIG.epsilon), 1))))
+
+
+@query
+def running_perplexity(spark, d):
+    """The mean over two evaluations, before and after a membership update."""
+    s = _split(spark, d)
+    pi, _, beta = _state(spark, s)
+    first = stored(E.running_mean(None, E.edge_likelihood(s.heldout, pi, beta, CONFIG.epsilon), 1), "ppx")
+    after = _new_pi(spark, s)[0]
+    return _ppx(E.perplexity(E.perplexity_parts(E.running_mean(first, E.edge_likelihood(s.heldout, after, beta, CONFIG.epsilon), 2))))
+
+
+def _learner(spark: SparkSession, d: str) -> Learner:
+    return Learner.from_edges(X.customer_supplier(spark, d), CONFIG.with_(strategy=Strategy.NODE_LINK))
+
+
+@query
+def train_3_steps(spark, d):
+    """The Arrow training loop: perplexities before and after three steps, and strengths."""
+    learner = _learner(spark, d)
+    learner.heldout_perplexity()
+    learner.run(3)
+    learner.heldout_perplexity()
+    theta = learner.strengths().agg(F.sum("t0").alias("t0"), F.sum("t1").alias("t1"))
+    return learner.metrics().where("step = 3").select(r("ppx").alias("ppx"), r("ll_link").alias("ll_link")).crossJoin(theta.select(r("t0").alias("t0"), r("t1").alias("t1")))  # one row each
+
+
+@query
+def checkpoint_roundtrip(spark, d):
+    """Two steps, save, load, one step; and three steps without a break: the largest difference."""
+    path = f"{shared_dir(spark)}/quillmesh/checkpoint-{next(tempfile._get_candidate_names())}"
+    one = _learner(spark, d)
+    one.run(2)
+    one.save(path)
+    two = Learner.load(spark, path)
+    one.run(1), two.run(1)
+    a, b = one.memberships(), two.memberships().select("n", F.col("pi").alias("q"))
+    worst = a.join(b, "n").select(F.aggregate(F.zip_with("pi", "q", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: F.greatest(s, x)).alias("x"))
+    same = float(one.theta == two.theta)
+    return worst.agg(F.max("x").alias("max_difference"), F.count(F.lit(1)).alias("n")).withColumn("same_theta", F.lit(same))
+
+
+@query
+def dataset_roundtrip(spark, d):
+    edges, n = _dense(spark, d)
+    path = f"{shared_dir(spark)}/quillmesh/dataset-{next(tempfile._get_candidate_names())}"
+    X.write_dataset(edges, path, n, CONFIG.heldout_ratio)
+    back, meta = X.read_dataset(spark, path)
+    return back.withColumn("n_vertices", F.lit(meta["n_vertices"]).cast("long"))
+
+
+@query
+def edge_list_file(spark, d):
+    """The graph written as text with four header lines, and read again."""
+    path = f"{shared_dir(spark)}/quillmesh/text-{next(tempfile._get_candidate_names())}"
+    lines = X.customer_supplier(spark, d).select(F.concat_ws("\t", "u", "v").alias("value"))
+    header = spark.createDataFrame([(i, f"# header {i}") for i in range(4)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value")
+    header.union(lines.coalesce(1)).coalesce(1).write.text(path)
+    return X.read_edge_list(spark, path)
+
+
+@query
+def fit_metrics(spark, d):
+    learner = _learner(spark, d)
+    learner.config = learner.config.with_(ppx_interval=1)
+    learner.fit(1)
+    return learner.metrics()
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    from .oracle import all_sql
+
+    return all_sql(CONFIG, STEP, DIGITS)
+
+
+assert math.isclose(CONFIG.prior, 1 / 8)
