@@ -34,27 +34,32 @@ def propagate(linked: DataFrame, total: int, held: dict[int, int], shards: int,
     """linked(g, s0, n): rows of group g that start in shard s0 -> (g, s0, s): where they go."""
     state = stored(linked.withColumn("s", F.col("s0")), "labels")
     capacity = SLACK * total / shards
+    sums = lambda df: {r[0]: r[1] for r in df.groupBy("s").agg(F.sum("n").alias("n")).collect()}
+    at_first = sums(state)
+    single = {t: held.get(t, 0) - at_first.get(t, 0) for t in range(shards)}
     for i in range(rounds):
-        votes = state.groupBy("g", "s").agg(F.sum("n").alias("n"))
-        wish = votes.groupBy("g").agg(F.max_by("s", F.struct("n", (-F.col("s")).alias("low"))).alias("to"))
-        asked = state.join(wish, "g")
-        flow = {(r[0], r[1]): r[2] for r in asked.where("s != to").groupBy("s", "to").agg(F.sum("n").alias("n")).collect()}
+        now = at_first if i == 0 else sums(state)
+        full = {t: single[t] + now.get(t, 0) for t in range(shards)}
+        free = [t for t in range(shards) if full[t] < 0.98 * capacity]
+        votes = state.groupBy("g", "s").agg(F.sum("n").alias("v"))
+        order = F.struct(F.col("s").isin(free).alias("room"), "v", (-F.col("s")).alias("low"))
+        wish = votes.groupBy("g").agg(F.max_by("s", order).alias("to"), F.max_by("v", order).alias("most"), (F.sum("v") > capacity / shards).alias("big"))
+        # parts of a group that is large against a shard move one by one, and not away from a larger part
+        asked = state.join(wish, "g").join(votes, ["g", "s"]).where(F.col("to").isin(free))
+        moving = (F.col("s") != F.col("to")) & (~F.col("big") | (F.col("v") <= F.col("most")))
+        flow = {(r[0], r[1]): r[2] for r in asked.where(moving).groupBy("s", "to").agg(F.sum("n").alias("n")).collect()}
         if not flow:
             break
         into = {t: sum(n for (_, b), n in flow.items() if b == t) for t in range(shards)}
-        out = {t: sum(n for (a, _), n in flow.items() if a == t) for t in range(shards)}
-        # rows that will leave make room, but only as far as others let them in
+        # rows that leave make room, but only as far as others let them in
         share = dict.fromkeys(range(shards), 1.0)
         for _ in range(20):
             gone = {a: sum(n * share[b] for (x, b), n in flow.items() if x == a) for a in range(shards)}
-            share = {t: min(1.0, max(0.0, capacity - held.get(t, 0) + min(gone[t], out[t])) / into[t]) if into[t] else 1.0 for t in range(shards)}
+            share = {t: min(1.0, max(0.0, capacity - full[t] + gone[t]) / into[t]) if into[t] else 1.0 for t in range(shards)}
         let_in = F.create_map(*[F.lit(x) for t in range(shards) for x in (t, float(share[t]))])
-        lot = F.pmod(F.xxhash64("g", F.lit(i)), F.lit(1 << 20)) / float(1 << 20)
-        state = stored(asked.withColumn("s", F.when(lot < let_in[F.col("to")], F.col("to")).otherwise(F.col("s"))).select("g", "s0", "n", "s"), "labels")
-        held = {**held}
-        for (a, b), n in flow.items():
-            held[a] = held.get(a, 0) - n * share[b]
-            held[b] = held.get(b, 0) + n * share[b]
+        lot = F.pmod(F.xxhash64("g", F.when(F.col("big"), F.col("s0")).otherwise(-1), F.lit(i)), F.lit(1 << 20)) / float(1 << 20)
+        moved = asked.where(moving & (lot < let_in[F.col("to")])).select("g", "s0", "to")
+        state = stored(state.join(moved, ["g", "s0"], "left").select("g", "s0", "n", F.coalesce("to", "s").alias("s")), "labels")
     return state.select("g", "s0", "s")
 
 
