@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import oracle
 from .common import table
 from .cotraining import cotraining
 from .decontaminate import decontaminate
@@ -26,7 +28,8 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    out = quality_rules(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("char_js", "word_js")})
 
 
 def op3_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +77,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_suffix_dedup": oracle.suffix_dedup(),
+        "op2_quality_rules": oracle.quality_rules(0.3, 0.31, 200, 100),
+        "op6_decontaminate": oracle.decontaminate(),
+        "op7_ngram_join": oracle.ngram_join(),
+        "op9_url_filter": oracle.url_filter(RULES),
+    }
