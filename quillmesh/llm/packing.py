@@ -12,7 +12,9 @@ Extra columns are ignored unless asked for with `carry`.
 
 from __future__ import annotations
 
+import gc
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,11 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, splitmix, stored, text_of
+from .common import splitmix, stored, text_of
 
 DIMENSIONS, BITS, BUCKETS = 3, 10, 64
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Distinct words, and parts of words, whose ids a worker process remembers.
+REMEMBERED = 1_000_000
+# fixed values: marks that end a word as one token group; not the apostrophe (it starts endings) and the underscore
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 
 
 @cache
@@ -36,22 +40,70 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def byte_letters() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write bytes: printable ones stand for themselves, others follow from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordTokens:
-    """Token ids of texts, word by word: this vocabulary's splitting rule never joins characters across white space."""
+    """Token ids of texts, word by word: this vocabulary's splitting rule never joins characters across white space.
 
-    def __init__(self, path: str):
-        self.encode, self.known = tokenizer(path).encode_batch, {"": b""}
+    A worker process keeps what it has seen across tasks. New words of letters and a tail of marks are put together from
+    the ids of both parts, so that only new letter runs and unusual words go through the tokenizer.
+    """
 
-    def __call__(self, texts: list[str], end: int) -> list[bytes]:
+    def __init__(self, path: str):
+        self.tokenizer, self.known, self.parts = tokenizer(path), {"": b""}, {"": b""}
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+
+    def _encode_group(self, group: str) -> bytes:
+        """Ids of a lower-case string that is one token group, straight from the vocabulary's merges over byte letters."""
+        if not group.isascii():
+            group = group.encode().decode("latin-1").translate(self.letters)
+        return array("H", [t.id for t in self.model.tokenize(group)]).tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        parts, split, other, fresh = self.parts, [], [], set()
+        for w in words:
+            letters = w.rstrip(MARKS)
+            # Latin letters up to U+00FF are unchanged by normalisation and have one lower case
+            if letters.isalpha() and (letters.isascii() or max(letters) <= "\xff"):
+                tail, low = w[len(letters) :], letters.lower()
+                split.append((w, low, tail))
+                if low not in parts:
+                    fresh.add(low)
+                if tail not in parts:
+                    fresh.add(tail)
+            else:
+                other.append(w)
+        for group in fresh:
+            parts[group] = self._encode_group(group)
+        for w, letters, tail in split:
+            self.known[w] = parts[letters] + parts[tail]
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False) if other else (), strict=True):
+            self.known[w] = np.array(e.ids, np.uint16).tobytes()
+
+    def __call__(self, texts: list[str], end: int) -> Iterator[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known = {"": b""}
+        if len(self.parts) > REMEMBERED:
+            self.parts = {"": b""}
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        for words in split:
-            if missing := list(set(words).difference(self.known)):
-                if len(self.known) > REMEMBERED:
-                    self.known = {"": b""}
-                    missing = list(set(words).difference(self.known))
-                for w, e in zip(missing, self.encode(missing, add_special_tokens=False), strict=True):
-                    self.known[w] = np.array(e.ids, np.uint16).tobytes()
-            yield b"".join(map(self.known.__getitem__, words)) + end.to_bytes(2, "little")
+        found = [list(map(self.known.get, words)) for words in split]
+        self.learn({w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None})
+        for words, ids in zip(split, found, strict=True):
+            if None in ids:
+                for j, i in enumerate(ids):
+                    if i is None:
+                        ids[j] = self.known[words[j]]
+            yield b"".join(ids) + end.to_bytes(2, "little")
+
+
+@cache
+def word_tokens(path: str) -> WordTokens:
+    return WordTokens(path)
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -82,11 +134,15 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+@cache
+def bucket_of_ids() -> np.ndarray:
+    return (splitmix(1 << 16, 5) % np.uint64(BUCKETS)).astype(np.int64)
+
+
 def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     """Hilbert key of each document's hashed, normalised and projected token counts."""
     n = np.array([len(i) for i in ids])
-    flat = mix(np.concatenate(ids).astype(np.uint64) + np.uint64(1))
-    cell = np.repeat(np.arange(len(ids)), n) * BUCKETS + (flat % np.uint64(BUCKETS)).astype(np.int64)
+    cell = np.repeat(np.arange(len(ids)) * BUCKETS, n) + bucket_of_ids()[np.concatenate(ids)]
     v = np.log1p(np.bincount(cell, minlength=len(ids) * BUCKETS).reshape(-1, BUCKETS))
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     signs = np.where(splitmix(BUCKETS * DIMENSIONS, 77) >> np.uint64(63), 1.0, -1.0).reshape(BUCKETS, DIMENSIONS)
@@ -97,7 +153,8 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
 
 def _tokens(path: str, end: int, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, row = WordTokens(path), TaskContext.get().partitionId() << 33
+        encode, row = word_tokens(path), TaskContext.get().partitionId() << 33
+        gc.disable()  # the word tables are large and have no cycles; walking them again and again is wasted time
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
