@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import forget
 from .common import Rolling, lists, signed, stored, text_chunks, text_of
 
 GRAM = 32
@@ -309,7 +310,8 @@ def suffix_dedup(docs: DataFrame, window: int = 400, keep: str = "none", carry:
         once = live.where("n = 1").select("a", "c", "rid", "q").join(some, ["a", "c"])
         everywhere = parts.join(whole.drop("rep"), ["a", "c"])
         spans = span(everywhere.select("rid", "q", "lo", "hi")).unionByName(span(once.select("rid", "q", "lo", "hi")))
-    gone = spans.groupBy("rid").agg(F.collect_list("s").alias("spans"))
+    gone = stored(spans.groupBy("rid").agg(F.collect_list("s").alias("spans")), "spans")
+    forget(live), forget(content)
     out = base.select("rid", *names, "n_bytes", "packed").join(gone, "rid", "left").select(*names, "n_bytes", "packed", "spans")
     shape = f"{typed}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>" + ", text string" * with_text
     return out.mapInArrow(_cut(window, names, with_text), shape).select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", *(["text"] if with_text else []))

@@ -376,11 +376,11 @@ def test_ngram_join_families(spark, lister):
     assert got == expected_join(rows) and len({x[2] for x in got}) < 140
 
 
-@pytest.mark.parametrize("rounds", [0, 1])
-def test_ngram_join_without_pivot_rounds(docs, rows, lister, monkeypatch, rounds):
+@pytest.mark.parametrize("levels", [0, 1])
+def test_ngram_join_with_fewer_levels(docs, rows, lister, monkeypatch, levels):
     from quillmesh.llm import ngram_join as module
 
-    monkeypatch.setattr(module, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(module, "LEVELS", levels)
     assert lister(ngram_join(docs), "doc_id", "n_shingles", "component_id") == expected_join(rows)
 
 
