@@ -24,6 +24,11 @@ from quillmesh.session import ship
 #: No SQL: the packing stage needs a tokenizer and a curve; tested against brute-force versions of the stages instead.
 ORACLE_SQL = None
 
+#: Near copies share at least this share of their word shingles.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Repeated passages of this many bytes are cut; fifty words are rarely shorter.
+REPEAT_BYTES = 250
+
 
 def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
     """docs without the ids in `dropped`; those are stored first, so that Spark knows their size and picks the join by it."""
@@ -31,27 +36,33 @@ def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti")
 
 
+def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1, ..., besides text and lang, and the names they had: other columns may be called anything."""
+    names = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for n, c in names.items()], F.col("text"), F.col("lang")), names
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
     ship(spark)
-    return quality_rules(docs, carry=tuple(docs.columns)).where("kept").select(*docs.columns)
+    renamed, names = _renamed(docs)
+    return quality_rules(renamed, carry=tuple(names)).where("kept").select(*[F.col(n).alias(c) for n, c in names.items()])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents that are linked by similarity, the one with the smallest id stays."""
     ship(spark)
-    groups = ngram_join(docs)
+    groups = ngram_join(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
     return _without(docs, groups.where("doc_id != component_id"), "near-copies")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated passages are cut out of their texts; the first copy stays."""
     ship(spark)
-    others = tuple(c for c in docs.columns if c != "text")
-    cut = suffix_dedup(docs, keep="first", carry=others, with_text=True)
-    if "n_chars" in others:
-        cut = cut.withColumn("n_chars", F.length("text").cast("long"))
-    return cut.select(*docs.columns)
+    renamed, names = _renamed(docs)
+    cut = suffix_dedup(renamed, window=REPEAT_BYTES, keep="first", carry=tuple(names), with_text=True)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return cut.select(*[new.get(c, F.col(n)).alias(c) for n, c in names.items()])
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
