@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.rng import normal_value
 from .membership import flag
-from .phi import TINY, noise_value
+from .phi import TINY, noise_column, noise_value
 
-__all__ = ["normal_value", "theta_gradient", "theta_gradient_arrays", "theta_update", "theta_update_rows"]
 _EXACT = "decimal(38,20)"
 
 
@@ -33,8 +31,6 @@ def theta_gradient(edges: DataFrame, pi_long: DataFrame, theta: DataFrame, train
 
 def theta_update(gradient: DataFrame, theta: DataFrame, scale: float, config: Config, t: int) -> DataFrame:
     """(k, t0, t1): the new theta."""
-    from .phi import noise_column
-
     eps, rows = config.step_size(t), gradient.join(theta, "k")
 
     def new(i: int, eta: float):
@@ -52,7 +48,6 @@ def theta_gradient_arrays(edges: DataFrame, theta: list[tuple[float, float]], ep
     repeats an unbroken one bit by bit.
     """
     beta = F.array(*[F.lit(t1 / (t0 + t1)) for t0, t1 in theta])
-    # a barrier between the reused arrays keeps them from being evaluated again for every element
     f = edges.select("y", F.zip_with("pu", "pv", lambda a, b: a * b).alias("f"))
     share = F.zip_with("f", beta, lambda x, b: x * F.when(F.col("y") == 1, b).otherwise(1 - b))
     z = F.aggregate(share, F.lit(0.0), lambda s, x: s + x) + F.when(F.col("y") == 1, F.lit(epsilon)).otherwise(F.lit(1 - epsilon)) * (1 - F.aggregate("f", F.lit(0.0), lambda s, x: s + x))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .config import Config
+import re
 
-# Each part names what it reads; a query gets only the parts it needs.
-PARTS: dict[str, str] = {}
+from .config import Config
+from .operators.samplers import coin
 
 
 def u(salt: str, *keys: object) -> str:
@@ -17,6 +17,7 @@ def z(salt: str, *keys: object) -> str:
     return f"sqrt(-2.0::double * ln({u(salt + '/r', *keys)})) * cos(2 * pi() * ({u(salt + '/a', *keys)}))"
 
 
+# Each part names what it reads; a query gets only the parts it needs.
 def parts(c: Config) -> dict[str, str]:
     s, e = c.seed, f"{c.epsilon!r}::double"
     nonlinks = lambda known, count, salt, seed: f"""
@@ -96,8 +97,6 @@ def parts(c: Config) -> dict[str, str]:
 
 def assemble(body: str, all_parts: dict[str, str]) -> str:
     """`body` after the parts that it needs, in order."""
-    import re
-
     need: list[str] = []
 
     def visit(sql: str) -> None:
@@ -118,7 +117,7 @@ def all_sql(c: Config, step: int, digits: int) -> dict[str, str]:
         SELECT count(*) FILTER (y = 1) AS n_link, count(*) FILTER (y = 0) AS n_nonlink, sum(ln(l)) FILTER (y = 1) AS ll_link, sum(ln(l)) FILTER (y = 0) AS ll_nonlink FROM {like})"""
     numbers = lambda n, x: f"SELECT i AS id, {x} AS x FROM (SELECT unnest(range({n})) AS i)"
     mean = lambda a, b: f"(SELECT a.u, a.v, a.y, (a.l + b.l) / 2 AS l FROM {a} a JOIN {b} b USING (u, v, y))"
-    coin_link = __import__("quillmesh.operators.samplers", fromlist=["coin"]).coin(c, step)
+    coin_link = coin(c, step)
     node_link = f"SELECT u, v, {r('(SELECT n_vertices FROM sizes)::double')} AS weight FROM batch1"
     free = f"""SELECT least(w, n) AS u, greatest(w, n) AS v, {r(f'2.0 * (SELECT n_edges FROM sizes) / {c.mini_batch}')} AS weight FROM (
         SELECT n, w FROM (SELECT unnest(range((SELECT n_vertices FROM sizes))) AS n), (SELECT x AS w FROM (SELECT unnest(range((SELECT n_vertices FROM sizes))) AS x) ORDER BY {u('node', s, step, 'x')}, x LIMIT 1)

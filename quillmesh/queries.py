@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -410,7 +410,7 @@ def train_3_steps(spark, d):
 @query
 def checkpoint_roundtrip(spark, d):
     """Two steps, save, load, one step; and three steps without a break: the largest difference."""
-    path = f"{shared_dir(spark)}/quillmesh/checkpoint-{next(tempfile._get_candidate_names())}"
+    path = f"{shared_dir(spark)}/quillmesh/checkpoint-{uuid.uuid4().hex}"
     one = _learner(spark, d)
     one.run(2)
     one.save(path)
@@ -425,7 +425,7 @@ def checkpoint_roundtrip(spark, d):
 @query
 def dataset_roundtrip(spark, d):
     edges, n = _dense(spark, d)
-    path = f"{shared_dir(spark)}/quillmesh/dataset-{next(tempfile._get_candidate_names())}"
+    path = f"{shared_dir(spark)}/quillmesh/dataset-{uuid.uuid4().hex}"
     X.write_dataset(edges, path, n, CONFIG.heldout_ratio)
     back, meta = X.read_dataset(spark, path)
     return back.withColumn("n_vertices", F.lit(meta["n_vertices"]).cast("long"))
@@ -434,7 +434,7 @@ def dataset_roundtrip(spark, d):
 @query
 def edge_list_file(spark, d):
     """The graph written as text with four header lines, and read again."""
-    path = f"{shared_dir(spark)}/quillmesh/text-{next(tempfile._get_candidate_names())}"
+    path = f"{shared_dir(spark)}/quillmesh/text-{uuid.uuid4().hex}"
     lines = X.customer_supplier(spark, d).select(F.concat_ws("\t", "u", "v").alias("value"))
     header = spark.createDataFrame([(i, f"# header {i}") for i in range(4)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value")
     header.union(lines.coalesce(1)).coalesce(1).write.text(path)
