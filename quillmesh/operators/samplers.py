@@ -6,8 +6,9 @@ again after a failure and gives the same batch.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import count, islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,12 +17,13 @@ from pyspark.sql import types as T
 from ..config import Config, Strategy
 from ..functions.rng import randint, uniform, uniform_value
 from ..storage import stored
-from .graph import directed
 from .membership import others
 from .split import Split
 
 #: Draws of a breadth-first non-link step for each vertex taken from the queue.
 BF_DRAWS = 32
+#: Vertices looked up in one scan, and draws without a linked vertex after which a graph counts as used up.
+DRAWN_AT_ONCE, MISSES = 64, 4096
 
 
 @dataclass(frozen=True)
@@ -30,28 +32,53 @@ class Batch:
     weight: float  # scale of the gradient
 
 
-def _first(df: DataFrame, salt: str, config: Config, t: int) -> int | None:
-    row = df.orderBy(uniform(salt, config.seed, t, F.col("n")), "n").limit(1).collect()
-    return row[0]["n"] if row else None
+def _draws(salt: str, config: Config, t: int, n_vertices: int) -> Iterator[int]:
+    """Random vertices, one after another, drawn on the driver: no pass over the vertices."""
+    return (int(uniform_value(salt, config.seed, t, j) * n_vertices) for j in count())
+
+
+def _ends_among(train: DataFrame, vertices: list[int]) -> set[int]:
+    """Those of a few vertices that have training edges: one filtered scan, without a shuffle of the edges."""
+    wanted = F.array(*[F.lit(v) for v in vertices])
+    ends = F.explode(F.array("u", "v"))
+    found = train.where(F.col("u").isin(vertices) | F.col("v").isin(vertices)).select(ends.alias("n")).where(F.array_contains(wanted, F.col("n")))
+    return {r["n"] for r in found.distinct().collect()}
+
+
+def _first_linked(split: Split, salt: str, config: Config, t: int, without: set[int] = frozenset()) -> int | None:
+    """The first random vertex with a training edge that is not in `without`; none if MISSES draws in a row have none."""
+    draws = _draws(salt, config, t, split.n_vertices)
+    for _ in range(MISSES // DRAWN_AT_ONCE):
+        some = [v for v in islice(draws, DRAWN_AT_ONCE) if v not in without]
+        linked = _ends_among(split.train, sorted(set(some))) if some else set()
+        if (found := next((v for v in some if v in linked), None)) is not None:
+            return found
+    return None
 
 
 def node_link(split: Split, config: Config, t: int) -> Batch:
     """All training edges of a random vertex that has any. Weight: N."""
-    u = _first(directed(split.train).select("n").distinct(), "node-link", config, t)
+    u = _first_linked(split, "node-link", config, t)
     edges = split.train.where((F.col("u") == u) | (F.col("v") == u)) if u is not None else split.train.limit(0)
     return Batch(edges.select("u", "v"), float(split.n_vertices))
 
 
 def node_non_link(split: Split, config: Config, t: int) -> Batch:
-    """m random pairs of one random vertex that are neither training edges nor held out. Weight: 2E/m."""
-    spark = split.train.sparkSession
-    vertices = spark.range(split.n_vertices).withColumnRenamed("id", "n")
-    u = _first(vertices, "node", config, t)
-    pairs = vertices.where(F.col("n") != u).select(F.least(F.lit(u), "n").alias("u"), F.greatest(F.lit(u), "n").alias("v"), F.col("n").alias("other"))
+    """m random pairs of one random vertex that are neither training edges nor held out. Weight: 2E/m.
+
+    Others are drawn until m are left; a vertex with fewer free others gives what it has.
+    """
+    spark, m, n = split.train.sparkSession, config.mini_batch, split.n_vertices
+    u = next(_draws("node", config, t, n))
     known = split.train.union(split.heldout.select("u", "v")).where((F.col("u") == u) | (F.col("v") == u))
-    free = others(pairs, known)
-    chosen = free.orderBy(uniform("non-link", config.seed, t, F.col("other")), "other").limit(config.mini_batch)
-    return Batch(chosen.select("u", "v"), 2.0 * split.n_edges / config.mini_batch)
+    draws = 4 * m + 64
+    while True:
+        drawn = spark.range(draws).select(F.col("id").alias("j"), randint(n, "non-link", config.seed, t, F.col("id")).alias("other")).where(F.col("other") != u)
+        pairs = drawn.groupBy("other").agg(F.min("j").alias("j")).select(F.least(F.lit(u), "other").alias("u"), F.greatest(F.lit(u), "other").alias("v"), "j")
+        chosen = stored(others(pairs, known).orderBy("j").limit(m).select("u", "v"), "non-link-batch")
+        if draws > 64 * (n + m) or chosen.count() == m:
+            return Batch(chosen, 2.0 * split.n_edges / m)
+        draws *= 8
 
 
 def coin(config: Config, t: int) -> bool:
@@ -67,10 +94,10 @@ def _pairs(split: Split, rows: list[tuple[int, int]]) -> DataFrame:
 
 
 def _unvisited(split: Split, visited: set[int], salt: str, config: Config, t: int, linked: bool) -> int | None:
-    """The next start of a search: the vertices in a random order, past those visited (at most a batch of them)."""
-    base = directed(split.train).select("n").distinct() if linked else split.train.sparkSession.range(split.n_vertices).withColumnRenamed("id", "n")
-    lined = base.orderBy(uniform(salt, config.seed, t, F.col("n")), "n").limit(len(visited) + 1).collect()
-    return next((r["n"] for r in lined if r["n"] not in visited), None)
+    """The next start of a search."""
+    if linked:
+        return _first_linked(split, salt, config, t, visited)
+    return next((v for v in islice(_draws(salt, config, t, split.n_vertices), MISSES) if v not in visited), None)
 
 
 def bf_link(split: Split, config: Config, t: int) -> Batch:
@@ -133,22 +160,22 @@ SAMPLERS: dict[Strategy, Callable[[Split, Config, int], Batch]] = {
 }
 
 
-def neighbor_sample(nodes: DataFrame, n_vertices: int, count: int, seed: int, t: int) -> DataFrame:
-    """(n, m): for each node, `count` distinct vertices other than itself, uniform over all.
+def neighbor_sample(nodes: DataFrame, n_vertices: int, many: int, seed: int, t: int) -> DataFrame:
+    """(n, m): for each node, `many` distinct vertices other than itself, uniform over all.
 
     Each node draws more than it needs; the draws are widened in the rare case that some node is left with too few.
     """
-    if count >= n_vertices:
-        raise ValueError(f"{count} neighbours asked for of {n_vertices} vertices")
-    draws = 2 * count + 16
-    many = nodes.count()
+    if many >= n_vertices:
+        raise ValueError(f"{many} neighbours asked for of {n_vertices} vertices")
+    draws = 2 * many + 16
+    n_nodes = nodes.count()
     per_node = T.ArrayType(T.LongType())
     while True:
         drawn = nodes.select("n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("j")).withColumn("m", randint(n_vertices, "neighbor", seed, t, F.col("n"), F.col("j"))).where("n != m")
         # array_distinct keeps the first of equal draws, in the order of j
         lined = drawn.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("j", "m"))).alias("d"))
-        chosen = lined.select("n", F.slice(F.array_distinct(F.transform("d", lambda x: x["m"])), 1, count).cast(per_node).alias("ms"))
+        chosen = lined.select("n", F.slice(F.array_distinct(F.transform("d", lambda x: x["m"])), 1, many).cast(per_node).alias("ms"))
         found = stored(chosen, "neighbors")
-        if found.where(F.size("ms") == count).count() == many:
+        if found.where(F.size("ms") == many).count() == n_nodes:
             return found.select("n", F.explode("ms").alias("m"))
         draws *= 2

@@ -62,7 +62,7 @@ def parts(c: Config) -> dict[str, str]:
         o = t - 1
         eps = f"({c.a!r}::double * pow(1 + {t} / {c.b!r}::double, -{c.c!r}::double))"
         out |= {
-            f"chosen{t}": f"SELECT n FROM (SELECT u AS n FROM train UNION SELECT v FROM train) ORDER BY {u('node-link', s, t, 'n')}, n LIMIT 1",
+            f"chosen{t}": f"SELECT n FROM (SELECT j, floor(({u('node-link', s, t, 'j')}) * (SELECT n_vertices FROM sizes))::bigint AS n FROM (SELECT unnest(range(4096)) AS j)) WHERE n IN (SELECT u FROM train UNION SELECT v FROM train) ORDER BY j LIMIT 1",
             f"batch{t}": f"SELECT u, v FROM train WHERE u = (SELECT n FROM chosen{t}) OR v = (SELECT n FROM chosen{t})",
             f"nodes{t}": f"SELECT u AS n FROM batch{t} UNION SELECT v FROM batch{t}",
             f"nb{t}": f"""
@@ -120,9 +120,10 @@ def all_sql(c: Config, step: int, digits: int) -> dict[str, str]:
     coin_link = coin(c, step)
     node_link = f"SELECT u, v, {r('(SELECT n_vertices FROM sizes)::double')} AS weight FROM batch1"
     free = f"""SELECT least(w, n) AS u, greatest(w, n) AS v, {r(f'2.0 * (SELECT n_edges FROM sizes) / {c.mini_batch}')} AS weight FROM (
-        SELECT n, w FROM (SELECT unnest(range((SELECT n_vertices FROM sizes))) AS n), (SELECT x AS w FROM (SELECT unnest(range((SELECT n_vertices FROM sizes))) AS x) ORDER BY {u('node', s, step, 'x')}, x LIMIT 1)
-        WHERE n <> w AND NOT EXISTS (SELECT 1 FROM taken x WHERE x.u = least(w, n) AND x.v = greatest(w, n))
-        ORDER BY {u('non-link', s, step, 'n')}, n LIMIT {c.mini_batch})"""
+        SELECT w, n, min(j) AS j FROM (
+          SELECT j, floor(({u('non-link', s, step, 'j')}) * n_vertices)::bigint AS n, floor(({u('node', s, step, 0)}) * n_vertices)::bigint AS w FROM (SELECT unnest(range(4000)) AS j), sizes)
+        WHERE n <> w AND NOT EXISTS (SELECT 1 FROM taken x WHERE x.u = least(w, n) AND x.v = greatest(w, n)) GROUP BY 1, 2
+        ORDER BY j LIMIT {c.mini_batch})"""
     bodies = {
         "edges_canonical": "SELECT u, v FROM edges",
         "vertex_ids": "SELECT id, n FROM ids",
