@@ -12,11 +12,16 @@ similarity is at least `percent` / 100. Linked nodes share a token in their pref
 3. Order by rarity class: tokens by (log2 of the number of nodes, another hash). Candidates of order 2 must also share a
    prefix token under this order. Only then are the sets compared.
 
-Big families are never expanded into all their pairs: in each of a few rounds every node of a token group is compared with
-one pivot of the group, links merge components, and pairs inside a component are not compared any more. The last round
-compares all pairs of different components that are left, so no link between components is lost.
+Big families are never expanded into all their pairs. The members of a token group are compared with one pivot of the
+group, and each is then described by its difference from the pivot, a small set: for members x and y with differences dx
+and dy, |x ^ y| = |dx| + |dy| - 2 |dx & dy|. Two members that both link with the pivot are in one component and need no
+comparison. For any other pair that links, the differences must share a number of tokens that follows from their sizes, so
+such pairs meet in a prefix of the differences (rarest tokens first, and those of one member only are skipped). These
+meetings are the groups of the next level, where the same is done with new pivots; after `LEVELS` levels the pairs that
+are left are compared one by one. Groups whose members are all in one component are dropped before each level. No link
+between components is lost.
 
-Nodes are known by a 64-bit hash of their set and its size.
+Nodes are told apart by a 64-bit hash of their set and its size.
 
 Defined results: a null or empty text has an empty set, links with nothing and is its own component. Null ids are no
 component's smallest id unless all its ids are null. Repeated rows are copies of each other. Extra columns are ignored.
@@ -31,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import forget, release, settings
 from .common import Rolling, lists, mix, signed, stored, text_chunks, text_of, word_spans
 
-PREFIX = 0.2
-STAR_ROUNDS = 3
+#: Size of the hash order's prefixes, in multiples of the tokens that a node may have for itself.
+PREFIX = 4 / 3
+LEVELS = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
@@ -73,17 +80,25 @@ def needed(size: Column, percent: int) -> Column:
     return F.ceil(size * percent / 100)
 
 
+def can_link(size: Column, own: Column, others_own: Column, percent: int) -> Column:
+    """May a set with `own` tokens that no other set has link with one that has `others_own`?
+
+    The overlap is at most size - own, and the union at least size + others_own.
+    """
+    return 100 * (size - own) >= percent * (size + others_own)
+
+
 def _nodes(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch["text"]):
                 tokens, count = shingle_sets(data, offsets, n)
                 spare = count - -(-count * percent // 100)
-                take = np.minimum(count, np.maximum(spare + 1, (count * PREFIX).astype(np.int64) + 1))
+                take = np.minimum(count, (spare * PREFIX).astype(np.int64) + 1)
                 take[count == 0] = 0
                 local = np.arange(len(tokens)) - np.repeat(np.cumsum(count) - count, count)
                 node = signed(set_hashes(tokens, count)) if len(count) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([*[batch[c].slice(lo, hi - lo) for c in ("doc_id", "t")], pa.array(count), pa.array(node, mask=count == 0), lists(signed(tokens[local < np.repeat(take, count)]), take, pa.int64())], names=["doc_id", "t", "size", "node", "prefix"])
+                yield pa.RecordBatch.from_arrays([*[batch[c].slice(lo, hi - lo) for c in ("doc_id", "t")], pa.array(count), pa.array(node, mask=count == 0), lists(signed(tokens[local < np.repeat(take, count)]), take, pa.int64())], names=["doc_id", "t", "size", "hash", "prefix"])
 
     return run
 
@@ -93,7 +108,7 @@ def _sets(n: int):
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch["text"]):
                 tokens, count = shingle_sets(data, offsets, n)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(set_hashes(tokens, count))), pa.array(count), lists(signed(tokens), count, pa.int64())], names=["node", "size", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(set_hashes(tokens, count))), pa.array(count), lists(signed(tokens), count, pa.int64())], names=["hash", "size", "tokens"])
 
     return run
 
@@ -109,41 +124,109 @@ def components(links: DataFrame, name: str = "component") -> DataFrame:
         target = jump.select(F.col("node").alias("root"), F.col("root").alias("top"))
         after = stored(jump.join(target, "root", "left").select("node", F.least("root", F.coalesce("top", "root")).alias("root"), "old"), name)
         moved = after.where("root != old").limit(1).count()
+        forget(labels), forget(jump)
         labels = after.select("node", "root")
         if not moved:
+            forget(both)
             return labels
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b) whose sets are similar enough."""
-    one = sets.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("tokens").alias("ta"), F.col("other").alias("oa"))
-    two = sets.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("tokens").alias("tb"), F.col("other").alias("ob"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    return (
-        pairs.join(one, "a").join(two, "b")
-        .where(F.arrays_overlap("oa", "ob"))  # the third order's prefixes
-        .where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
-    )
+def close(delta: Column, sizes: Column, percent: int) -> Column:
+    """Jaccard similarity of at least percent / 100, from the sizes' sum and the symmetric difference's size."""
+    return delta * (100 + percent) <= (100 - percent) * sizes
+
+
+def _difference(a: str, b: str) -> Column:
+    return F.array_union(F.array_except(a, b), F.array_except(b, a))
+
+
+def _compared(groups: DataFrame, described: DataFrame, roots: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
+    """One level: groups(g, ref, node), described(ref, node, size, own, other, tokens).
+
+    Returns the members' descriptions relative to their groups' pivots, with `linked` (ref, node, size, own, other, tokens,
+    pivot, linked), and the links (a, b).
+    """
+    described = described.select("ref", "node", "size", "own", "other", "tokens")
+    known = groups.join(described.select("ref", "node", "size", "own"), ["ref", "node"])
+    known = known.withColumn("root", F.col("node")) if roots is None else known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    pivots = known.groupBy("g", "ref").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("own", "node")).alias("first")).where("low != high").select("g", "ref", F.col("first.node").alias("pivot"))
+    met = known.select("g", "ref", "node").join(pivots, ["g", "ref"]).where("node != pivot").select("ref", "node", "pivot").distinct()
+    centre = described.select("ref", F.col("node").alias("pivot"), F.col("size").alias("psize"), F.col("tokens").alias("ptokens"), F.col("other").alias("pother"))
+    both = met.join(described, ["ref", "node"]).join(centre, ["ref", "pivot"])
+    delta = both.withColumn("tokens", _difference("tokens", "ptokens"))
+    # the third order's prefixes must meet as well
+    linked = F.arrays_overlap("other", "pother") & close(F.size("tokens"), F.col("size") + F.col("psize"), percent)
+    new = stored(delta.select(F.xxhash64("ref", "pivot").alias("ref"), "node", "size", "own", "other", "tokens", "pivot", "psize", linked.alias("linked")), "described")
+    return new, new.where("linked").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+
+
+def _next_groups(described: DataFrame, percent: int) -> DataFrame:
+    """(g, ref, node): members whose differences from a pivot share a token of their prefixes."""
+    c = (100 - percent) / (100 + percent)
+    # where all members link with the pivot, nothing is left to compare
+    described = described.join(described.where(~F.col("linked")).select("ref").distinct(), "ref", "left_semi")
+    spread = described.select("ref", "node", F.explode("tokens").alias("token"))
+    counted = spread.groupBy("ref", "token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
+    listed = spread.join(counted, ["ref", "token"]).groupBy("ref", "node").agg(F.collect_list(F.struct("df", "token")).alias("x"))
+    d = F.size("tokens")
+    excess = d - c * (F.col("size") + F.col("psize"))
+    # The least number of shared tokens of a pair that matters; one of its two does not link with the pivot. A partner that
+    # does not link asks for `far` of them, whoever the other is; one that links may ask a member that does not for fewer.
+    far, any_ = F.ceil((1 - c) * d / 2 - 1e-9), F.ceil((excess + 1 - c) / 2 - 1e-9)
+    length = lambda least: (d - F.greatest(F.lit(1), least) + 1 - (d - F.size("x"))).cast("int")
+    ranked = described.join(listed, ["ref", "node"]).withColumn("k", length(F.when(F.col("linked"), far).otherwise(any_))).withColumn("near", length(far)).where("k > 0")
+    rows = ranked.select("ref", "node", "linked", "near", F.posexplode(F.slice(F.array_sort("x"), 1, F.col("k"))).alias("i", "s"))
+    rows = rows.select(F.xxhash64("ref", "s.token").alias("g"), "ref", "node", "linked", (F.col("i") < F.col("near")).alias("short"))
+    # groups, and members of them, without a pair that matters go
+    apart, count = ~F.col("linked"), lambda x: F.sum(x.cast("int"))
+    kinds = rows.groupBy("g", "ref").agg(count(F.col("linked")).alias("nl"), count(apart).alias("na"), count(apart & F.col("short")).alias("ns")).where("ns >= 2 or (nl >= 1 and na >= 1)")
+    return rows.join(kinds, ["g", "ref"]).where(F.when(F.col("linked"), F.col("na") >= 1).otherwise((F.col("nl") >= 1) | (F.col("short") & (F.col("ns") >= 2)))).select("g", "ref", "node", "linked", "short")
+
+
+def _pairwise(groups: DataFrame, described: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
+    """Links (a, b) among all members of each group that are not in one component yet."""
+    known = groups.join(described.select("ref", "node", "size", F.size("tokens").alias("d")), ["ref", "node"])
+    known = known.withColumn("root", F.col("node")) if roots is None else known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = known.groupBy("g", "ref").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("g", "ref")
+    rest = known.join(mixed, ["g", "ref"])
+    one, two = (rest.select("g", "ref", *[F.col(x).alias(f"{x}{k}") for x in ("node", "size", "root", "d", "linked", "short")]) for k in "ab")
+    # differences of very different sizes are too far apart whatever they share
+    matters = F.col("linkeda") | F.col("linkedb") | (F.col("shorta") & F.col("shortb"))
+    near = matters & (one["g"] == two["g"]) & (one["ref"] == two["ref"]) & (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & close(F.abs(F.col("da") - F.col("db")), F.col("sizea") + F.col("sizeb"), percent)
+    pairs = one.join(two, near).select(one["ref"], F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+    sides = [described.select("ref", F.col("node").alias(k), *[F.col(x).alias(f"{x}_{k}") for x in ("size", "tokens", "other")]) for k in "ab"]
+    both = pairs.join(sides[0], ["ref", "a"]).join(sides[1], ["ref", "b"])
+    delta = F.size("tokens_a") + F.size("tokens_b") - 2 * F.size(F.array_intersect("tokens_a", "tokens_b"))
+    return both.where(F.arrays_overlap("other_a", "other_b")).where(close(delta, F.col("size_a") + F.col("size_b"), percent)).select("a", "b").distinct()
 
 
 def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id") -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id."""
-    kind = dict(docs.dtypes)[key]
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
     source = docs.select(F.col(f"`{key}`").alias("doc_id"), text_of().alias("text")).withColumn("t", F.xxhash64("text"))
-    base = stored(source.mapInArrow(_nodes(n, percent), f"doc_id {kind}, t long, size long, node long, prefix array<long>"), "nodes")
+    hashed = stored(source.mapInArrow(_nodes(n, percent), f"doc_id {kind}, t long, size long, hash long, prefix array<long>"), "hashed")
     size = F.col("size")
 
-    # order 1: which tokens of the hash prefixes have two nodes?
-    seen = base.where("node is not null").select("node", F.explode("prefix").alias("token"))
-    shared = seen.groupBy("token").agg(F.min("node").alias("one"), F.max("node").alias("other")).where("one != other").select("token")
-    nodes = base.where("node is not null").groupBy("node", "size").agg(F.min("t").alias("t"), F.max(F.size("prefix")).alias("p"))
-    common = seen.distinct().join(shared, "token").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
-    left = stored(nodes.join(common, "node").where(F.col("p") - F.col("common") <= size - needed(size, percent)).select("node", "t"), "left")
+    # one row for each set; from here on a node is a running number, which is short in a shuffle
+    sets = hashed.where("hash is not null").groupBy("hash", "size").agg(F.first("prefix").alias("prefix"), F.min("t").alias("t"), F.min("doc_id").alias("least"))
+    nodes = stored(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    base = stored(hashed.select("doc_id", "size", "hash"), "documents")
+    forget(hashed), release(spark)
 
-    # their whole sets; the join's own Bloom filter keeps the other texts from being shuffled
-    again = source.select("t", "text").join(left.select("t").where("t is not null").distinct(), "t").mapInArrow(_sets(n), "node long, size long, tokens array<long>")
-    sets = again.join(left.select("node"), "node", "left_semi").groupBy("node", "size").agg(F.first("tokens").alias("tokens"))
-    sets = stored(sets, "sets")
+    # order 1: which tokens of the hash prefixes have two nodes?
+    seen = nodes.select("node", F.explode("prefix").alias("token"))
+    shared = seen.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2").select("token")
+    common = seen.join(shared, "token").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+    left = stored(nodes.join(common, "node").where(F.size("prefix") - F.col("common") <= size - needed(size, percent)).select("node", "hash", "size", "t"), "left")
+    release(spark)
+
+    # their whole sets; a Bloom filter of a bounded size, which the join makes itself, keeps most other texts from being shuffled
+    again = source.select("t", "text").join(left.where("size > 0").select("t"), "t", "left_semi").mapInArrow(_sets(n), "hash long, size long, tokens array<long>")
+    sets = again.groupBy("hash", "size").agg(F.first("tokens").alias("tokens")).join(left.select("node", "hash", "size"), ["hash", "size"]).select("node", "size", "tokens")
+    bloom = "spark__sql__optimizer__runtime__bloomFilter__"
+    with settings(spark, **{bloom + "enabled": "true", bloom + "applicationSideScanSizeThreshold": "0", bloom + "creationSideThreshold": "1g"}):
+        sets = stored(sets, "sets")
+    forget(left), release(spark)
 
     # orders 2 and 3
     tokens = sets.select("node", F.explode("tokens").alias("token"))
@@ -153,29 +236,35 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_i
     ranked = sets.join(listed, "node").withColumn("k", spare.cast("int")).where("k > 0")
     rare = F.slice(F.array_sort("x"), 1, F.col("k"))
     classed = F.slice(F.array_sort(F.transform("x", lambda s: F.struct(F.floor(F.log2(s["df"])).alias("c"), F.xxhash64(s["token"], F.lit(7)).alias("h")))), 1, F.col("k"))
-    ranked = stored(ranked.select("node", "size", "tokens", F.transform(rare, lambda s: s["token"]).alias("first"), F.transform(classed, lambda s: s["h"]).alias("other")), "ranked")
-
-    postings = stored(ranked.select("node", "size", F.explode("first").alias("token")), "postings")
-    links, roots = None, None
-    for i in range(STAR_ROUNDS + 1):
-        labelled = postings.withColumn("root", F.col("node")) if roots is None else postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        groups = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("node", "size", "root"), F.xxhash64("root", F.lit(i))).alias("pivot")).where("low != high")
-        fits = lambda x, y: F.least(x, y) * 100 >= percent * F.greatest(x, y)
-        if i < STAR_ROUNDS:
-            met = labelled.join(groups, "token").where("root != pivot.root").where(fits(size, F.col("pivot.size")))
-            pairs = met.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
+    own = (size - F.size("x")).alias("own")
+    ranked = stored(ranked.select(F.lit(0).cast("long").alias("ref"), "node", "size", own, "tokens", F.transform(rare, lambda s: s["token"]).alias("first"), F.transform(classed, lambda s: s["h"]).alias("other")), "ranked")
+    forget(sets), release(spark)
+
+    # what a node could reach with the partner of the group that has the fewest tokens of its own
+    postings = ranked.select(F.explode("first").alias("g"), "ref", "node", "size", "own")
+    least_own = postings.groupBy("g").agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    groups = postings.join(least_own, "g").where(can_link(size, F.col("own"), F.col("least"), percent)).select("g", "ref", "node", F.lit(False).alias("linked"), F.lit(True).alias("short"))
+    described, links, roots, used = ranked.drop("first"), None, None, [ranked]
+    for i in range(LEVELS + 1):
+        groups = stored(groups, "groups")
+        used.append(groups)
+        if i == LEVELS:
+            found = stored(_pairwise(groups, described, roots, percent), "links")
         else:
-            open_ = labelled.join(groups.select("token"), "token")
-            one = open_.select("token", F.col("node").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"))
-            two = open_.select("token", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
-            pairs = one.join(two, "token").where("a < b and ra != rb").where(fits(F.col("na"), F.col("nb"))).select("a", "b")
-        found = stored(_verified(pairs.distinct(), ranked, percent), "links")
+            described, found = _compared(groups, described, roots, percent)
+            groups = _next_groups(described, percent)
+        used += [found, described]
         links = found if links is None else links.union(found)
+        forget(roots)
         roots = components(links)
+        release(spark)
 
     # classes back to documents
-    least = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    placed = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    of = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    out = base.select("doc_id", F.col("size").alias("n_shingles"), "node").join(of, "node", "left")
-    return out.select(F.col("doc_id").alias(key), "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    placed = nodes.select("node", "hash", "size", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("hash", "size", "component_id")
+    out = base.join(of, ["hash", "size"], "left").withColumnRenamed("size", "n_shingles")
+    # the narrow result is stored, so that what it was made from can go
+    out = stored(out.select("doc_id", "n_shingles", F.when(F.col("hash").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), "groups")
+    for gone in (base, nodes, roots, *used):
+        forget(gone)
+    return out.withColumnRenamed("doc_id", key)
