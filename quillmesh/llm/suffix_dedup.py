@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import forget
+from ..storage import forget, release
 from .common import Rolling, lists, signed, stored, text_chunks, text_of
 
 GRAM = 32
@@ -163,19 +163,19 @@ def _anchored(window: int, carry: list[str]):
 
 
 def _contents(window: int):
-    """(rid, packed, wanted segments) -> their bytes, or for hot anchors the digests of their windows."""
+    """(rid, packed, wanted segments) -> their places and bytes, or for hot anchors the digests of their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, c, first, text, w1, w2 = [], [], [], [], [], []
+            a, c, rid, q, first, text, w1, w2 = ([] for _ in CONTENT_NAMES)
             for i in range(batch.num_rows):
                 data = zlib.decompress(batch["packed"][i].as_py())
-                rolling = None
+                row, rolling = batch["rid"][i].as_py(), None
                 for want in batch["want"][i].as_py():
                     s = want["q"] >> 20
                     e = s + ((want["q"] >> 10) & 1023)
                     if want["d"] <= HOT:
-                        a.append(want["a"]), c.append(want["c"]), first.append(0), text.append(data[s : e + window]), w1.append(None), w2.append(None)
+                        a.append(want["a"]), c.append(want["c"]), rid.append(row), q.append(want["q"]), first.append(0), text.append(data[s : e + window]), w1.append(None), w2.append(None)
                         continue
                     if rolling is None:
                         buffer = np.frombuffer(data, np.uint8)
@@ -184,20 +184,22 @@ def _contents(window: int):
                     x, y = (signed(r.ranges(at, at + window)).tolist() for r in rolling)
                     a += [want["a"]] * len(x)
                     c += [want["c"]] * len(x)
+                    rid += [row] * len(x)
+                    q += [want["q"]] * len(x)
                     first += range(len(x))
                     text += [None] * len(x)
                     w1 += x
                     w2 += y
                 if sum(map(len, filter(None, text))) > 4 << 20 or len(a) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((a, c, first, text, w1, w2), CONTENT_TYPES, strict=True)], names=CONTENT_NAMES)
-                    a, c, first, text, w1, w2 = [], [], [], [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((a, c, first, text, w1, w2), CONTENT_TYPES, strict=True)], names=CONTENT_NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((a, c, rid, q, first, text, w1, w2), CONTENT_TYPES, strict=True)], names=CONTENT_NAMES)
+                    a, c, rid, q, first, text, w1, w2 = ([] for _ in CONTENT_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((a, c, rid, q, first, text, w1, w2), CONTENT_TYPES, strict=True)], names=CONTENT_NAMES)
 
     return run
 
 
-CONTENT_NAMES = ["a", "c", "first", "content", "w1", "w2"]
-CONTENT_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+CONTENT_NAMES = ["a", "c", "rid", "q", "first", "content", "w1", "w2"]
+CONTENT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
 
 
 def _resolve(window: int, keep: str):
@@ -276,8 +278,10 @@ def _whole_characters(data: bytes, gone: list) -> str:
 
 def suffix_dedup(docs: DataFrame, window: int = 400, keep: str = "none", carry: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
     """docs(text, *carry) -> *carry, n_bytes, n_removed, n_spans, kept_sha256, removed (spans of bytes)[, text as left]."""
+    if not GRAM < window <= 1000 or keep not in ("none", "first"):
+        raise ValueError(f"window {window} must be in {GRAM + 1}..1000, and keep {keep!r} be none or first")
     names = [f"k{i}" for i in range(len(carry))]
-    kinds = dict(docs.dtypes)
+    spark, kinds = docs.sparkSession, dict(docs.dtypes)
     typed = ", ".join(f"{n} {kinds[c]}" for n, c in zip(names, carry, strict=True))
     source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)], text_of().alias("text"))
     base = stored(source.mapInArrow(_anchored(window, names), f"rid long, {typed}, n_bytes long, packed binary, a array<long>, c array<long>, q array<long>"), "anchors")
@@ -285,33 +289,33 @@ def suffix_dedup(docs: DataFrame, window: int = 400, keep: str = "none", carry:
     classes = parts.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "q")).alias("rep"))
     anchors = classes.groupBy("a").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("total")).where("total >= 2").select("a", "d")
     live = stored(classes.join(anchors, "a").select("a", "c", "n", "d", F.col("rep.rid").alias("rid"), F.col("rep.q").alias("q")), "classes")
+    release(spark)
     want = live.where("d >= 2").groupBy("rid").agg(F.collect_list(F.struct("a", "c", "q", "d")).alias("want"))
-    content = stored(base.select("rid", "packed").join(want, "rid").select("packed", "want").mapInArrow(_contents(window), "a long, c long, first int, content binary, w1 long, w2 long"), "contents")
-    order = live.select("a", "c", F.struct("rid", "q").alias("place"))
-    placed = content.where("content is not null").select("a", "c", "content").join(order.where(f"{keep == 'first'}").select("a", "c", "place"), ["a", "c"], "left") if keep == "first" else content.where("content is not null").select("a", "c", "content", F.lit(0).alias("place"))
-    found = placed.select("a", "c", "place", "content").repartition("a").sortWithinPartitions("a", "place", "c").mapInArrow(_resolve(window, keep), "a long, c long, lo int, hi int")
-    single = content.where("content is null")
+    content = stored(base.select("rid", "packed").join(want, "rid").select("rid", "packed", "want").mapInArrow(_contents(window), "a long, c long, rid long, q long, first int, content binary, w1 long, w2 long"), "contents")
+    release(spark)
+    content = content.withColumn("place", F.struct("rid", "q"))
+    texts, single = content.where("content is not null"), content.where("content is null")
+    windows = single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m"), F.min("place").alias("kept")).where("m >= 2")
+    hot = single.join(windows, ["w1", "w2"])
     if keep == "first":
-        placed_one = single.join(live.select("a", "c", F.struct("rid", "q").alias("place")), ["a", "c"])
-        firsts = placed_one.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m"), F.min("place").alias("kept")).where("m >= 2")
-        hot = placed_one.join(firsts, ["w1", "w2"]).where("place > kept").select("a", "c", F.col("first").alias("lo"), F.col("first").alias("hi"))
-    else:
-        many = single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m")).where("m >= 2").select("w1", "w2")
-        hot = single.join(many, ["w1", "w2"]).select("a", "c", F.col("first").alias("lo"), F.col("first").alias("hi"))
+        hot = hot.where("place > kept")
+    hot = hot.select("a", "c", F.col("first").alias("lo"), F.col("first").alias("hi"))
+    found = texts.select("a", "c", "place", "content").repartition("a").sortWithinPartitions("a", "place", "c").mapInArrow(_resolve(window, keep), "a long, c long, lo int, hi int")
     whole = live.where("n >= 2").select("a", "c", F.lit(0).alias("lo"), F.lit(1023).alias("hi"), F.struct("rid", "q").alias("rep"))
-    some = found.unionByName(hot)
+    some = stored(found.unionByName(hot), "marks")
+    forget(content), release(spark)
     start, width = F.shiftright("q", 20), F.shiftright("q", 10).bitwiseAND(1023)
-    span = lambda df: df.select("rid", F.struct((start + F.col("lo")).alias("lo"), (start + F.least(F.col("hi").cast("long"), width) + window).alias("hi")).alias("s"))
+    columns = ("rid", "q", "lo", "hi")
     if keep == "first":
         everywhere = parts.join(whole, ["a", "c"]).where(F.struct("rid", "q") > F.col("rep"))
         inside = live.select("a", "c", "rid", "q").join(some, ["a", "c"])
-        spans = span(everywhere.select("rid", "q", "lo", "hi")).unionByName(span(inside.select("rid", "q", "lo", "hi")))
     else:
-        once = live.where("n = 1").select("a", "c", "rid", "q").join(some, ["a", "c"])
-        everywhere = parts.join(whole.drop("rep"), ["a", "c"])
-        spans = span(everywhere.select("rid", "q", "lo", "hi")).unionByName(span(once.select("rid", "q", "lo", "hi")))
+        everywhere = parts.join(whole, ["a", "c"])
+        inside = live.where("n = 1").select("a", "c", "rid", "q").join(some, ["a", "c"])
+    marked = everywhere.select(*columns).unionByName(inside.select(*columns))
+    spans = marked.select("rid", F.struct((start + F.col("lo")).alias("lo"), (start + F.least(F.col("hi").cast("long"), width) + window).alias("hi")).alias("s"))
     gone = stored(spans.groupBy("rid").agg(F.collect_list("s").alias("spans")), "spans")
-    forget(live), forget(content)
+    forget(live), forget(some), release(spark)
     out = base.select("rid", *names, "n_bytes", "packed").join(gone, "rid", "left").select(*names, "n_bytes", "packed", "spans")
     shape = f"{typed}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>" + ", text string" * with_text
     return out.mapInArrow(_cut(window, names, with_text), shape).select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", *(["text"] if with_text else []))
