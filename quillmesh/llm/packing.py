@@ -24,11 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import release
 from .common import splitmix, stored, text_of
 
 DIMENSIONS, BITS, BUCKETS = 3, 10, 64
 #: Distinct words, and parts of words, whose ids a worker process remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 # fixed values: marks that end a word as one token group; not the apostrophe (it starts endings) and the underscore
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 
@@ -92,12 +93,11 @@ class WordTokens:
             self.parts = {"": b""}
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         found = [list(map(self.known.get, words)) for words in split]
-        self.learn({w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None})
-        for words, ids in zip(split, found, strict=True):
-            if None in ids:
-                for j, i in enumerate(ids):
-                    if i is None:
-                        ids[j] = self.known[words[j]]
+        holes = [[j for j, i in enumerate(ids) if i is None] if None in ids else () for ids in found]
+        self.learn({words[j] for words, at in zip(split, holes, strict=True) for j in at})
+        for words, ids, at in zip(split, found, holes, strict=True):
+            for j in at:
+                ids[j] = self.known[words[j]]
             yield b"".join(ids) + end.to_bytes(2, "little")
 
 
@@ -155,13 +155,16 @@ def _tokens(path: str, end: int, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, row = word_tokens(path), TaskContext.get().partitionId() << 33
         gc.disable()  # the word tables are large and have no cycles; walking them again and again is wasted time
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids = list(encode(part["text"].to_pylist(), end))
-                arrays = [np.frombuffer(i, np.uint16) for i in ids]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(ids))), *[part[c] for c in carry], pa.array(curve_keys(arrays)), pa.array([len(a) for a in arrays], pa.int64()), pa.array(ids, pa.binary())], names=["rid", *carry, "key", "n", "ids"])
-                row += len(ids)
+        try:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    part = batch.slice(lo, 256)
+                    ids = list(encode(part["text"].to_pylist(), end))
+                    arrays = [np.frombuffer(i, np.uint16) for i in ids]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(ids))), *[part[c] for c in carry], pa.array(curve_keys(arrays)), pa.array([len(a) for a in arrays], pa.int64()), pa.array(ids, pa.binary())], names=["rid", *carry, "key", "n", "ids"])
+                    row += len(ids)
+        finally:
+            gc.enable()
 
     return run
 
@@ -205,6 +208,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 4096, end: int = 2, carry
     parts = max(1, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     along = tokens.select("key", "rid", "n").repartitionByRange(parts, "key", "rid").sortWithinPartitions("key", "rid")
     placed = stored(along.mapInArrow(_places, "rid long, part long, local long, reach long"), "places")
+    release(tokens.sparkSession)
     # one row for each partition
     ranges = placed.groupBy("part").agg(F.max("reach").alias("reach"))
     base = ranges.select("part", (F.sum("reach").over(Window.orderBy("part")) - F.col("reach")).alias("base"))
