@@ -60,13 +60,20 @@ class Boosted:
         right = (f >= 0) & (b[np.arange(len(node)), np.maximum(f, 0)] > cut[node])
         return 2 * node + 1 + right
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        b, score = self._binned(x), np.full(len(x), self.start)
-        for feature, cut, value in self.trees:
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row in each tree."""
+        b, out = self._binned(x), np.zeros((len(x), len(self.trees)), np.uint8)
+        for t, (feature, cut, _) in enumerate(self.trees):
             node = np.zeros(len(x), np.int64)
             for _ in range(self.depth):
                 node = self._down(node, b, feature, cut)
-            score += value[node - (2**self.depth - 1)]
+            out[:, t] = node - (2**self.depth - 1)
+        return out
+
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        leaves, score = self.leaves(x), np.full(len(x), self.start)
+        for t, (_, _, value) in enumerate(self.trees):
+            score += value[leaves[:, t]]
         return score
 
 

@@ -491,3 +491,39 @@ def test_each_operator_has_one_query():
     names = list(Q.queries())
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
     assert set(Q.oracle_sql()) <= set(names)
+
+
+# co-training over the whole corpus
+
+
+def test_cotraining_asks_all_unlabelled(spark):
+    from quillmesh.llm import cotraining as module
+
+    n = 26_000  # of which about 20,800 are not held out
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.expr("concat('the word and ', case when id % 2 = 0 then 'of it is fine ' else '## $$ ## %% ' end, id)").alias("text"), F.lit("en").alias("lang"), F.expr("concat('s', id % 2)").alias("source"), F.expr("20 + id % 7").alias("n_chars"))
+    labels = docs.where("doc_id < 400").select("doc_id", F.expr("cast(1 - doc_id % 2 as int)").alias("quality"))
+    free = docs.where("doc_id >= 400 and crc32(cast(doc_id as string)) % 5 <> 0").count()
+    one, two = (module.learn(module.stored_views(docs.repartition(k)), labels) for k in (2, 7))
+    assert free > 20_000 and one.n_unlabelled == free
+    # equal margins go together, so that no sure row is left to chance
+    assert all(c > 3 * int(module.SURE * 20_000) for c in one.handed[-1])
+    assert one.handed == two.handed and all(np.array_equal(a[2], b[2]) for k in (0, 1) for a, b in zip(one.models[k].trees, two.models[k].trees, strict=True))
+
+
+def test_cotraining_sums_and_cuts(spark):
+    from quillmesh.llm import cotraining as module
+
+    r = np.random.default_rng(3)
+    leaves, values, starts = [r.integers(0, 8, (900, 5), np.uint8) for _ in (0, 1)], [r.normal(size=(5, 8)) for _ in (0, 1)], [0.1, -0.2]
+    frame = spark.createDataFrame([(bytes(a), bytes(b)) for a, b in zip(*leaves)], "a binary, b binary").repartition(5)
+    rows = module.Unlabelled(frame, starts)
+    counts = rows.counts([], values)
+    at = [module.on_grid(module.margins(x, s, v)) for x, s, v in zip(leaves, starts, values)]
+    assert [dict(c) for c in counts] == [dict(Counter(a.tolist())) for a in at]
+    cuts = [module.cut(c, 40, 20) for c in counts]
+    assert all(low == np.sort(a)[39] and high == np.sort(a)[-20] for (low, high), a in zip(cuts, at))
+    for k, (g, h, n) in enumerate(rows.slopes([(values, cuts)], values)):
+        other, (low, high) = at[1 - k], cuts[1 - k]
+        taken = (other <= low) | (other >= high)
+        want = module.slopes(leaves[k][taken], (other[taken] >= high).astype(int), starts[k], values[k])
+        assert n == taken.sum() >= 60 and np.array_equal(g, want[0]) and np.array_equal(h, want[1])
