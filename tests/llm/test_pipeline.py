@@ -102,3 +102,13 @@ def test_stages_of_odd_rows(spark, planted, docs, rows, tmp_path):
         assert i == 4 or out.columns == table.columns
         assert out.count() <= table.count() or i == 4
         table = out
+
+
+def test_benchmarks_in_long_documents_go(spark, planted):
+    d, _, _ = planted
+    item = spark.read.parquet(f"{d}/benchmark.parquet").first()["text"]
+    part = " ".join(item.split()[:13])
+    rows = [(1, prose(801, 2000) + " " + item + " " + prose(802, 2000), "en", "s", 0), (2, prose(803, 4000), "en", "s", 0)]
+    rows += [(3, prose(804, 3000) + " " + part, "en", "s", 0), (4, prose(805, 300) + " " + " ".join(item.split()[:12]), "en", "s", 0)]
+    out = cp.without_benchmarks(spark, spark.createDataFrame(rows, SHAPE), d)
+    assert {r["doc_id"] for r in out.collect()} == {2, 4}
