@@ -137,7 +137,8 @@ def search(index: DataFrame, tests: TestSet, rank: np.ndarray, gap: int, slop: i
                         loose = loose[near(places[at[0] : at[1]], loose + o, slop)] if len(loose) else loose
                     for found, out in ((exact, sets), (loose, close)):
                         if len(found):
-                            rows = np.searchsorted(first, found, side="right") - 1
+                            # by the rarest term's own place: a near match may start before its document's first word
+                            rows = np.searchsorted(first, found + offs[0], side="right") - 1
                             for row in np.unique(rows).tolist():
                                 out.setdefault(row, set()).update(items[w])
                             if out is sets:
@@ -171,7 +172,8 @@ def blocks(bench: DataFrame, n: int) -> Iterator[TestSet]:
 def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 13, share: int = 20, slop: int = 0, key: str = "doc_id") -> DataFrame:
     """docs(doc_id, text), bench(item_id, text) -> doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, items.
 
-    A document is contaminated if at least one word in `share` is inside an exact occurrence of a test window.
+    A document is contaminated if at least one word in `share` is inside an exact occurrence of a test window. n_near counts the
+    items of which all terms of a window lie within `slop` places of theirs, exact occurrences included; 0 without slop.
     """
     gap, parts, index = n + slop + 1, [], None
     for tests in blocks(bench, n):

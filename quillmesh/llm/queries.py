@@ -20,6 +20,8 @@ from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
 from .url_filter import url_filter
 
+#: Places by which the terms of a proximity match may be off.
+SLOP = 2
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
@@ -50,6 +52,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "n_near")
 
 
+def near_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6_decontaminate, whose SQL has exact phrases only, and n_near."""
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP).drop("items")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -73,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") or name == "pipeline"}
+    return {name: f for name, f in globals().items() if name.startswith("op") or name in ("near_decontaminate", "pipeline")}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -527,3 +527,30 @@ def test_cotraining_sums_and_cuts(spark):
         taken = (other <= low) | (other >= high)
         want = module.slopes(leaves[k][taken], (other[taken] >= high).astype(int), starts[k], values[k])
         assert n == taken.sum() >= 60 and np.array_equal(g, want[0]) and np.array_equal(h, want[1])
+
+
+# proximity
+
+
+def test_proximity_query(spark, tmp_path, lister):
+    from .conftest import prose
+
+    item = " ".join(f"w{i}" for i in range(20))
+    turned = "w1 w0 " + " ".join(item.split()[2:])  # the windows' rarest terms come before their places
+    texts = [turned, "x " + prose(1, 40), turned + " y", item.replace("w9 ", "w9 more "), item, prose(2, 40) + " w1" * 9]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, " ".join(item.split()[:13]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = {r["doc_id"]: r for r in Q.queries()["near_decontaminate"](spark, str(tmp_path)).collect()}
+    assert [out[i]["n_near"] for i in range(6)] == [1, 0, 1, 1, 1, 0] and [out[i]["n_items"] for i in range(6)] == [0, 0, 0, 0, 1, 0]
+    exact = lister(Q.op6_decontaminate(spark, str(tmp_path)), "doc_id", *COLUMNS6)
+    assert exact == lister(Q.near_decontaminate(spark, str(tmp_path)), "doc_id", *COLUMNS6)
+
+
+def test_proximity_before_a_document_start(spark):
+    """The rarest term is one place early at the very start, so the match would begin in the document before."""
+    item = "b a " + " ".join(f"c{i}" for i in range(11))
+    start = "a b " + " ".join(f"c{i}" for i in range(11))
+    common = " ".join(["b"] * 3 + [f"c{i}" for i in range(11)] * 3)
+    docs = spark.createDataFrame([(0, start), (1, "other"), (2, start), (3, common)], "doc_id long, text string").coalesce(1)
+    out = {r["doc_id"]: r["n_near"] for r in decontaminate(docs, spark.createDataFrame([(9, item)], "item_id long, text string"), slop=2).collect()}
+    assert out == {0: 1, 1: 0, 2: 1, 3: 0}
