@@ -22,7 +22,7 @@ from .split import Split
 
 #: Draws of a breadth-first non-link step for each vertex taken from the queue.
 BF_DRAWS = 32
-#: Vertices looked up in one scan, and draws without a linked vertex after which a graph counts as used up.
+#: Vertices looked up in one scan, and draws in vain after which the vertices that are left are ranked instead.
 DRAWN_AT_ONCE, MISSES = 64, 4096
 
 
@@ -45,15 +45,22 @@ def _ends_among(train: DataFrame, vertices: list[int]) -> set[int]:
     return {r["n"] for r in found.distinct().collect()}
 
 
+def _first_ranked(vertices: DataFrame, salt: str, config: Config, t: int, without: set[int]) -> int | None:
+    """The vertex (of n) with the smallest random number that is not in `without`."""
+    gone = vertices.sparkSession.createDataFrame([(v,) for v in sorted(without)], "n long")
+    found = vertices.join(gone, "n", "left_anti").distinct().orderBy(uniform(salt + "-rank", config.seed, t, F.col("n")), "n").first()
+    return found["n"] if found else None
+
+
 def _first_linked(split: Split, salt: str, config: Config, t: int, without: set[int] = frozenset()) -> int | None:
-    """The first random vertex with a training edge that is not in `without`; none if MISSES draws in a row have none."""
+    """The first random vertex with a training edge that is not in `without`; none if there is none."""
     draws = _draws(salt, config, t, split.n_vertices)
     for _ in range(MISSES // DRAWN_AT_ONCE):
         some = [v for v in islice(draws, DRAWN_AT_ONCE) if v not in without]
         linked = _ends_among(split.train, sorted(set(some))) if some else set()
         if (found := next((v for v in some if v in linked), None)) is not None:
             return found
-    return None
+    return _first_ranked(split.train.select(F.explode(F.array("u", "v")).alias("n")), salt, config, t, without)
 
 
 def node_link(split: Split, config: Config, t: int) -> Batch:
@@ -97,7 +104,8 @@ def _unvisited(split: Split, visited: set[int], salt: str, config: Config, t: in
     """The next start of a search."""
     if linked:
         return _first_linked(split, salt, config, t, visited)
-    return next((v for v in islice(_draws(salt, config, t, split.n_vertices), MISSES) if v not in visited), None)
+    found = next((v for v in islice(_draws(salt, config, t, split.n_vertices), MISSES) if v not in visited), None)
+    return found if found is not None else _first_ranked(split.train.sparkSession.range(split.n_vertices).withColumnRenamed("id", "n"), salt, config, t, visited)
 
 
 def bf_link(split: Split, config: Config, t: int) -> Batch:

@@ -282,3 +282,21 @@ def test_entry(spark):
 
 def test_graphs_of_the_tables(spark, tiny):
     assert customer_supplier(spark, tiny).count() == 1444
+
+
+def test_samplers_find_rare_vertices(spark):
+    from quillmesh.operators import samplers
+    from quillmesh.operators.split import Split
+
+    n = 10**9  # draws never meet the few linked vertices
+    train = spark.createDataFrame([(5, 900_000_001), (7, 8), (8, 9)], "u long, v long")
+    split = Split(n, 3, train, spark.createDataFrame([], "u long, v long, y int"))
+    config = Config(k=2, mini_batch=3)
+    edges = {tuple(r) for r in train.collect()}
+    assert {tuple(r) for r in samplers.bf_link(split, config, 1).edges.collect()} == edges
+    one = {tuple(r) for r in samplers.node_link(split, config, 1).edges.collect()}
+    assert one and one <= edges
+    few = Split(5000, 3, train, split.heldout)
+    seen = set(range(5000)) - {4321}
+    assert samplers._unvisited(few, seen, "bf-non-link", config, 1, False) == 4321
+    assert samplers._unvisited(few, seen | {4321}, "bf-non-link", config, 1, False) is None
