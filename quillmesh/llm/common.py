@@ -35,36 +35,79 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+BLOCK = 1 << 15
+P31 = np.uint64((1 << 31) - 1)
+_31 = np.uint64(31)
+
+
+def fold(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**62, brought to 0 .. 2**31 - 1 without changing them modulo 2**31 - 1 (the last is another zero)."""
+    x = (x & P31) + (x >> _31)
+    return (x & P31) + (x >> _31)
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    have, step = 1, base
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = fold(out[:more] * np.uint64(step))
+        have, step = have + more, step * step % int(P31)
+    return out
+
+
 class Rolling:
-    """Hashes of any byte ranges of one buffer, by prefix sums of a polynomial modulo 2**64 over random byte codes."""
+    """Hashes of any byte ranges of one buffer: polynomials over random byte codes modulo the prime 2**31 - 1, at two points.
 
-    BASES = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1)
-    _powers: dict = {}
+    A prime modulus has no strings that clash whatever the point is, as a power of two has; two lanes give 62 bits.
+    """
+
+    POINTS = (0x2C5F1B37, 0x5A3D90E1)
+    #: Powers that a worker process keeps; longer texts make their own.
+    KEPT = 1 << 21
+    _powers: list = []
 
     def __init__(self, data: np.ndarray, which: int = 0):
-        n, base = len(data), self.BASES[which]
-        kept = self._powers.get(which)
-        if kept is None or len(kept[0]) < n + 1:
+        n = len(data)
+        kept = self._powers
+        if not kept or len(kept[0][0]) < n + 1:
             size = max(n + 1, 1 << 16)
-            inv = pow(base, -1, 1 << 64)
-            with np.errstate(over="ignore"):
-                up, down = np.full(size, base, np.uint64), np.full(size, inv, np.uint64)
-                up[0] = down[0] = 1
-                kept = self._powers[which] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-        self.up, self.down = kept
-        codes = splitmix(256, 0xA5A5 + which)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(codes[data] * self.up[:n], out=self.sums[1:])
-        if len(kept[0]) > 1 << 24:  # a very long text: don't keep its powers
-            self._powers.pop(which)
+            kept = [(_powers_of(b, size), _powers_of(pow(b, -1, int(P31)), size)) for b in self.POINTS]
+            if size <= self.KEPT:
+                type(self)._powers = kept
+        codes = splitmix(512, 0xA5A5 + which) >> np.uint64(34)
+        self.lanes = []
+        for k, (up, down) in enumerate(kept):
+            own, sums = codes[256 * k : 256 * k + 256], np.zeros(n + 1, np.uint64)
+            for lo in range(0, n, BLOCK):  # a block at a time stays in the processor's cache
+                terms = own[data[lo : lo + BLOCK]]
+                terms *= up[lo : lo + len(terms)]
+                low = terms & P31
+                terms >>= _31
+                terms += low
+                terms[0] += sums[lo]
+                np.cumsum(terms, out=sums[lo + 1 : lo + 1 + len(terms)])
+            self.lanes.append((sums, down))
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self.sums[ends] - self.sums[starts]) * self.down[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-
-    def grams(self, k: int) -> np.ndarray:
-        n = len(self.sums) - k
-        return mix((self.sums[k:] - self.sums[:-k]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
+        lanes = [fold(fold(sums[ends] - sums[starts]) * down[starts]) for sums, down in self.lanes]
+        high, low = (np.where(x == P31, np.uint64(0), x) for x in lanes)
+        return mix((high << _31 | low) + (ends - starts).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+
+
+def grams(data: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k bytes (a power of two) at each place, by doubling. It chooses places; equality is never taken on its word."""
+    codes, out = splitmix(256, 0xA5A5), np.zeros(max(0, len(data) - k + 1), np.uint64)
+    for lo in range(0, len(out), BLOCK):
+        h, width = codes[data[lo : lo + BLOCK + k - 1]], 1
+        while width < k:
+            more = h[width:]
+            h = h[:-width] * np.uint64(0x9E3779B97F4A7C15)
+            h += more
+            h ^= h >> np.uint64(29)
+            width *= 2
+        out[lo : lo + BLOCK] = mix(h)
+    return out
 
 
 def text_chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import forget, release
-from .common import Rolling, lists, signed, stored, text_chunks, text_of
+from .common import Rolling, grams, lists, signed, stored, text_chunks, text_of
 
 GRAM = 32
 HOT = 48
@@ -50,8 +50,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int, gram: int = GRA
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if n_windows <= 0:
         return none
-    one = Rolling(data, 0)
-    hashed = one.grams(gram)
+    hashed = grams(data, gram)
     place = np.arange(len(hashed), dtype=np.int64)
     owner = np.searchsorted(offsets, place, side="right") - 1
     keys = (hashed >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | (place - offsets[owner]).astype(np.uint64)

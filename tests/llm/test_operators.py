@@ -554,3 +554,37 @@ def test_proximity_before_a_document_start(spark):
     docs = spark.createDataFrame([(0, start), (1, "other"), (2, start), (3, common)], "doc_id long, text string").coalesce(1)
     out = {r["doc_id"]: r["n_near"] for r in decontaminate(docs, spark.createDataFrame([(9, item)], "item_id long, text string"), slop=2).collect()}
     assert out == {0: 1, 1: 0, 2: 1, 3: 0}
+
+
+# hashes
+
+
+def thue_morse(n=1024):
+    """Two strings that clash under any polynomial hash modulo a power of two."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_strings_that_clash_modulo_a_power_of_two(spark, lister):
+    one, two = thue_morse()
+    rows = [(1, one), (2, two), (3, f"{one}\n{two}"), (4, f"{one} x y {two} x y"), (5, f"{one}\n{one}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    assert lister(quality_rules(docs), "doc_id", *COLUMNS2) == paired(rows, [brute.quality_base(t) for _, t in rows])
+    assert {tuple(r) for r in ngram_join(docs).collect()} == brute.jaccard_join(rows)
+    items = spark.createDataFrame([("i", one)], "item_id string, text string")
+    found = {r["doc_id"]: r["n_hit"] for r in decontaminate(docs, items).collect()}
+    assert found == {i: x[1] for (i, _), x in zip(rows, brute.decontaminate([t for _, t in rows], [("i", one)]))}
+
+
+def test_ranges_and_grams():
+    from quillmesh.llm.common import BLOCK, Rolling, grams
+
+    g = np.random.default_rng(3)
+    data = g.integers(0, 256, 2 * BLOCK + 77).astype(np.uint8)
+    data[2 * BLOCK - 10 : 2 * BLOCK + 60] = data[5:75]
+    r = Rolling(data)
+    a, b = (r.ranges(np.array([s]), np.array([s + 70]))[0] for s in (5, 2 * BLOCK - 10))
+    assert a == b == Rolling(data[5:75]).ranges(np.array([0]), np.array([70]))[0]
+    assert len({int(r.ranges(np.array([s]), np.array([s + n]))[0]) for s in range(300) for n in range(1, 40)}) == 300 * 39 - sum(len(w) - len(set(w)) for n in range(1, 40) for w in [[bytes(data[s : s + n]) for s in range(300)]])
+    h = grams(data, 32)
+    assert len(h) == len(data) - 31 and h[5] == h[2 * BLOCK - 10] and len(grams(data[:31], 32)) == 0
