@@ -2,14 +2,17 @@
 
 A page is split into blocks at block-level tags; a block knows its text, how much of it is in links, and the containers
 around it. The first pass decides what it can: blocks of menus, headers, footers, sidebars, notices, adverts, forms and
-comments (by element or by a word of their class or id) and blocks made of links are bad; blocks of an article or main
-element are good; elsewhere, long blocks with many stop words are good, those with few are bad, and short ones or those in
-between stay ambiguous. In the second pass an ambiguous block takes the label of its nearest decided neighbours: good if
-both agree on it or, for a nearly good block or a heading, if one of them is good.
-
-Defined results: a null or empty page, or one without a good block, has the empty text. Broken markup is read as far as it
-goes: an unclosed tag at the end is dropped, unknown tags are ignored, stray closing tags close nothing. Repeated rows each
-get their row; extra columns are ignored.
+comments (by element or by a word of their class or id) and blocks made of links are bad; long blocks with many stop words
+are good, those with few are bad, and short ones or those in between stay ambiguous. In the second pass an ambiguous block
+takes the label of its nearest decided neighbours: good if both agree on it or, for a nearly good block or a heading, if one
+of them is good. An article or main element is a hint for both passes: a block in it needs fewer stop words to be good and is
+not bad for having few, its neighbours are those in the same element, and it goes only if both of them are bad and some
+block of the element is good.
+
+Defined results: a null or empty page, or one without a good block, has the empty text. A very long page is read whole, in
+time that grows with its length. Broken markup is read as far as it goes: an unclosed tag at the end is dropped, unknown tags
+are ignored, stray closing tags close nothing. Neighbours that are equally near count alike. Repeated rows each get their
+row, an empty table gives no rows, and extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,10 +49,10 @@ def named_bad(attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> Iterator[tuple[str, float, str, bool]]:
-    """(text, share in links, "bad", "good" or "" by the containers, is a heading) of each block with text."""
-    stack: list[tuple[str, bool, bool]] = []  # element, bad, in an article
-    text, linked, at, in_link, own_bad, heading = [], 0, 0, False, False, False
+def blocks(page: str) -> Iterator[tuple[str, float, bool, int, bool]]:
+    """(text, share in links, bad by its containers, number of its article or 0, is a heading) of each block with text."""
+    stack: list[tuple[str, bool, int]] = []  # element, bad, article
+    text, linked, at, in_link, own_bad, heading, articles = [], 0, 0, False, False, False, 0
 
     def add(piece: str) -> None:
         nonlocal linked
@@ -66,8 +69,9 @@ def blocks(page: str) -> Iterator[tuple[str, float, str, bool]]:
         text.clear()
         linked = 0
         if whole:
-            bad, good = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            yield whole, share, "bad" if bad or own_bad else "good" if good else "", heading
+            bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            bad = bad or own_bad  # a form or the comments in an article are no part of it
+            yield whole, share, bad, 0 if bad else article, heading
 
     for m in TOKEN.finditer(page):
         add(page[at : m.start()])
@@ -87,15 +91,16 @@ def blocks(page: str) -> Iterator[tuple[str, float, str, bool]]:
             if name in CONTAINERS:
                 if not closing:
                     if not m[4].endswith("/"):
-                        bad, good = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                        bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
                         if name in ("article", "main"):
                             # a menu or header that was never closed does not swallow the article
                             while stack and stack[-1][0] in ("nav", "header", "menu", "ul", "ol"):
                                 stack.pop()
-                            bad, good = (stack[-1][1], True) if stack else (False, True)
+                            bad, articles = bool(stack) and stack[-1][1], articles + 1
+                            article = articles
                         elif name != "body":
-                            bad = bad or (name in BAD_ELEMENTS and not (name == "header" and good)) or named_bad(m[4])
-                        stack.append((name, bad, good))
+                            bad = bad or (name in BAD_ELEMENTS and not (name == "header" and article)) or named_bad(m[4])
+                        stack.append((name, bad, article))
                 elif any(x[0] == name for x in stack):
                     while stack.pop()[0] != name:
                         pass
@@ -105,40 +110,49 @@ def blocks(page: str) -> Iterator[tuple[str, float, str, bool]]:
     yield from done()
 
 
-def first_pass(text: str, links: float, known: str) -> str:
-    """bad, good, nearly (good) or short."""
-    if known == "bad" or links > LINK_DENSITY:
-        return "bad"
-    if known == "good":
-        return "good"
-    if "\xa9" in text:
+def first_pass(text: str, links: float, bad: bool, article: int) -> str:
+    """bad, good, nearly (good), short or, in an article only, few (stop words)."""
+    if bad or links > LINK_DENSITY:
         return "bad"
     if len(text) < SHORT:
-        return "bad" if links > 0 else "short"
+        return "bad" if links > 0 and not article else "short"
     words = re.findall(r"\w+", text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if article:
+        return "good" if stops >= LOW_STOPS else "few"
     if stops >= HIGH_STOPS:
         return "good" if len(text) > LONG else "nearly"
     return "nearly" if stops >= LOW_STOPS else "bad"
 
 
+def nearest(labels: list[str], articles: list[int]) -> Iterator[tuple[str, str]]:
+    """For each block: the nearest decided label before it, in its article and on the page ("" and "bad" if there is none)."""
+    page, own = "bad", {}
+    for label, article in zip(labels, articles, strict=True):
+        yield own.get(article, ""), page
+        if label in ("good", "bad"):
+            page = own[article] = label
+
+
+def second_pass(labels: list[str], articles: list[int], headings: list[bool]) -> list[bool]:
+    """Which blocks are kept."""
+    sides = zip(nearest(labels, articles), reversed([*nearest(labels[::-1], articles[::-1])]), strict=True)
+    kept, some, told = [], "good" in labels, {a for x, a in zip(labels, articles, strict=True) if x == "good"}
+    for label, article, heading, ((left, before), (right, after)) in zip(labels, articles, headings, sides, strict=True):
+        if label in ("good", "bad"):
+            kept.append(label == "good")
+        elif article:
+            kept.append((left, right) != ("bad", "bad") or article not in told)
+        else:
+            good = (before == "good") + (after == "good")
+            kept.append(good == 2 or (label == "nearly" and (good or not some)) or (heading and after == "good"))
+    return kept
+
+
 def main_text(page: str) -> str:
     found = list(blocks(page))
-    labels = [first_pass(*b[:3]) for b in found]
-    before, after, last = [], [None] * len(labels), "bad"
-    for label in labels:
-        before.append(last)
-        last = label if label in ("good", "bad") else last
-    last = "bad"
-    for i in range(len(labels) - 1, -1, -1):
-        after[i] = last
-        last = labels[i] if labels[i] in ("good", "bad") else last
-    kept = []
-    for (text, _, _, heading), label, left, right in zip(found, labels, before, after, strict=True):
-        sides = (left == "good") + (right == "good")
-        if label == "good" or label not in ("bad",) and (sides == 2 or (label == "nearly" and sides) or (heading and right == "good")) or label == "nearly" and "good" not in labels:
-            kept.append(text)
-    return " ".join(kept)
+    kept = second_pass([first_pass(*b[:4]) for b in found], [b[3] for b in found], [b[4] for b in found])
+    return " ".join(b[0] for b, keep in zip(found, kept, strict=True) if keep)
 
 
 def extract_main(pages: DataFrame) -> DataFrame:
