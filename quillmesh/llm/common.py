@@ -57,9 +57,8 @@ def _powers_of(base: int, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any byte ranges of one buffer: polynomials over random byte codes modulo the prime 2**31 - 1, at two points.
-
-    A prime modulus has no strings that clash whatever the point is, as a power of two has; two lanes give 62 bits.
+    """Hashes of any ranges of one buffer of bytes (polynomials over random byte codes) or of 64-bit hashes, modulo the prime
+    2**31 - 1 at two points. A prime modulus has no strings that clash whatever the point is, as a power of two has; two lanes give 62 bits.
     """
 
     POINTS = (0x2C5F1B37, 0x5A3D90E1)
@@ -80,7 +79,8 @@ class Rolling:
         for k, (up, down) in enumerate(kept):
             own, sums = codes[256 * k : 256 * k + 256], np.zeros(n + 1, np.uint64)
             for lo in range(0, n, BLOCK):  # a block at a time stays in the processor's cache
-                terms = own[data[lo : lo + BLOCK]]
+                part = data[lo : lo + BLOCK]
+                terms = own[part] if data.dtype == np.uint8 else part >> np.uint64(33) if k else part & P31
                 terms *= up[lo : lo + len(terms)]
                 low = terms & P31
                 terms >>= _31
@@ -95,18 +95,23 @@ class Rolling:
         return mix((high << _31 | low) + (ends - starts).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
+def doubled(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k numbers (a power of two) that start at each place, by doubling."""
+    width = 1
+    while width < k and len(h):
+        more = h[width:]
+        h = h[: len(more)] * np.uint64(0x9E3779B97F4A7C15)
+        h += more
+        h ^= h >> np.uint64(29)
+        width *= 2
+    return mix(h)
+
+
 def grams(data: np.ndarray, k: int) -> np.ndarray:
-    """A hash of the k bytes (a power of two) at each place, by doubling. It chooses places; equality is never taken on its word."""
+    """A hash of the k bytes (a power of two) at each place."""
     codes, out = splitmix(256, 0xA5A5), np.zeros(max(0, len(data) - k + 1), np.uint64)
     for lo in range(0, len(out), BLOCK):
-        h, width = codes[data[lo : lo + BLOCK + k - 1]], 1
-        while width < k:
-            more = h[width:]
-            h = h[:-width] * np.uint64(0x9E3779B97F4A7C15)
-            h += more
-            h ^= h >> np.uint64(29)
-            width *= 2
-        out[lo : lo + BLOCK] = mix(h)
+        out[lo : lo + BLOCK] = doubled(codes[data[lo : lo + BLOCK + k - 1]], k)
     return out
 
 

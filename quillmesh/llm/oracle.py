@@ -82,8 +82,8 @@ def url_filter(rules: list[tuple[str, str, str]], default: str = "allow") -> str
     SELECT page_id, host, path, rule, coalesce(v, '{default}') AS verdict FROM fits QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST, rule) = 1"""
 
 
-def suffix_dedup(window: int = 400) -> str:
-    w = window
+def suffix_dedup(window: int = 400, passage: int = 51) -> str:
+    w, p = window, passage
     return f"""
     WITH docs AS MATERIALIZED (SELECT doc_id AS d, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::bigint AS n FROM documents),
     windows AS MATERIALIZED (SELECT d, i, md5(substr(h, 2 * i + 1, {2 * w})) AS m FROM (SELECT d, h, unnest(range(0, n - {w} + 1)) AS i FROM docs WHERE n >= {w})),
@@ -94,6 +94,10 @@ def suffix_dedup(window: int = 400) -> str:
       SELECT d, coalesce(lag(hi) OVER (PARTITION BY d ORDER BY lo), 0) AS a, lo AS b FROM spans
       UNION ALL SELECT d, max(hi), 1000000000000 FROM spans GROUP BY 1),
     kept AS (SELECT p.d, string_agg(substr(h, 2 * a + 1, 2 * (least(b, n) - a)), '' ORDER BY a) AS h FROM pieces p JOIN docs ON docs.d = p.d GROUP BY 1),
-    gone AS (SELECT d, sum(hi - lo)::bigint AS n, count(*) AS k FROM spans GROUP BY 1)
-    SELECT docs.d AS doc_id, docs.n AS n_bytes, coalesce(gone.n, 0) AS n_removed, coalesce(gone.k, 0) AS n_spans, sha256(unhex(coalesce(kept.h, docs.h))) AS kept_sha256
-    FROM docs LEFT JOIN gone ON gone.d = docs.d LEFT JOIN kept ON kept.d = docs.d"""
+    gone AS (SELECT d, sum(hi - lo)::bigint AS n, count(*) AS k FROM spans GROUP BY 1),
+    words AS (SELECT doc_id AS d, regexp_extract_all(coalesce(text, ''), '[^{SPACE}]+') AS ws FROM documents),
+    passages AS MATERIALIZED (SELECT d, i, md5(array_to_string(ws[i:i + {p - 1}], ' ')) AS m FROM (SELECT d, ws, unnest(range(1, len(ws) - {p - 2})) AS i FROM words WHERE len(ws) >= {p})),
+    held AS (SELECT d, i, lead(i) OVER (PARTITION BY d ORDER BY i) AS next FROM passages SEMI JOIN (SELECT m FROM passages GROUP BY 1 HAVING min(d) < max(d)) x USING (m)),
+    shared AS (SELECT d, sum(least({p}, coalesce(next - i, {p})))::bigint AS n FROM held GROUP BY 1)
+    SELECT docs.d AS doc_id, docs.n AS n_bytes, coalesce(gone.n, 0) AS n_removed, coalesce(gone.k, 0) AS n_spans, sha256(unhex(coalesce(kept.h, docs.h))) AS kept_sha256, coalesce(shared.n, 0) AS n_shared_words
+    FROM docs LEFT JOIN gone ON gone.d = docs.d LEFT JOIN kept ON kept.d = docs.d LEFT JOIN shared ON shared.d = docs.d"""

@@ -26,7 +26,7 @@ RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents")).drop("removed")
+    return suffix_dedup(table(spark, sf_dir, "documents"), with_passages=True).drop("removed")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,9 @@ A string of `window` bytes that starts in two places of the corpus is a repeat.
 keep="none" removes every copy; keep="first" keeps the copy that comes first in row order (input order) and removes the
 later ones.
 
+With `with_passages` the same steps 1 and 2 are taken over words, for passages of PASSAGE words, and digests of windows settle
+the borders: these are shorter than `window` bytes as a rule and are counted, not removed.
+
 Defined results: null and empty texts, and texts shorter than `window` bytes, lose nothing. Repeated rows are copies of
 each other. Null or repeated ids are carried along; extra columns are ignored unless asked for with `carry`.
 """
@@ -34,23 +37,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import forget, release
-from .common import Rolling, grams, lists, signed, stored, text_chunks, text_of
+from .common import Rolling, doubled, grams, lists, signed, stored, text_chunks, text_of, word_spans
 
 GRAM = 32
+#: Words of a passage (more than 50), and of the grams that anchor it.
+PASSAGE, WORDS = 51, 16
 HOT = 48
 #: Bytes gathered for one suffix array.
 CHUNK = 1 << 20
 PLACE_BITS = 28
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Text number, first and last window start, anchor place (in the text), anchor hash and segment hash of each segment."""
+def anchored(hashed: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of window starts with one smallest gram: text number, first and last start, place of the gram. hashed: of each gram."""
     reach = window - gram + 1
-    n_windows = len(data) - window + 1
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    n_windows = len(hashed) - reach + 1
     if n_windows <= 0:
-        return none
-    hashed = grams(data, gram)
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     place = np.arange(len(hashed), dtype=np.int64)
     owner = np.searchsorted(offsets, place, side="right") - 1
     keys = (hashed >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | (place - offsets[owner]).astype(np.uint64)
@@ -60,28 +63,51 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int, gram: int = GRA
         width *= 2
     if width < reach:
         least = np.minimum(least[: len(least) - (reach - width)], least[reach - width :])
-    starts = np.arange(n_windows, dtype=np.int64)
     owner = owner[:n_windows]
-    valid = starts + window <= offsets[owner + 1]
+    valid = place[:n_windows] + window <= offsets[owner + 1]
     anchor = (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
     change = np.empty(n_windows, bool)
     change[0] = True
     change[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(change & valid)
-    if not len(first):
-        return none
     after = np.empty(n_windows, bool)
     after[-1] = True
     after[:-1] = change[1:] | ~valid[1:]
     last = np.flatnonzero(after & valid)
     text = owner[first]
-    at = anchor[first] + offsets[text]
-    whole = Rolling(data, 1).ranges(first, last + window) + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return text, first - offsets[text], last - offsets[text], anchor[first], hashed[at], whole
+    return text, first, last, anchor[first] + offsets[text]
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, window: int, rolling: Rolling, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Text number, first and last window start, anchor place (in the text), anchor hash and segment hash of each segment."""
+    hashed = grams(data, gram)
+    text, first, last, at = anchored(hashed, offsets, window, gram)
+    whole = rolling.ranges(first, last + window) + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return text, first - offsets[text], last - offsets[text], at - offsets[text], hashed[at], whole
+
+
+def worded(data: np.ndarray, offsets: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes, and where each text's words start and end among them."""
+    starts, ends, owner = word_spans(data, offsets)
+    at = np.zeros(len(offsets), np.int64)
+    np.cumsum(np.bincount(owner, minlength=len(offsets) - 1), out=at[1:])
+    return rolling.ranges(starts, ends), at
+
+
+def passages(data: np.ndarray, offsets: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, ...]:
+    """As `segments`, with words for bytes and PASSAGE words for the window."""
+    words, at = worded(data, offsets, rolling)
+    hashed = doubled(words, WORDS)[: max(0, len(words) - WORDS + 1)]
+    text, first, last, place = anchored(hashed, at, PASSAGE, WORDS)
+    whole = Rolling(words).ranges(first, last + PASSAGE) + (place - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return text, first - at[text], last - at[text], place - at[text], hashed[place], whole
 
 
 def factor_ranks(data: np.ndarray, window: int) -> np.ndarray:
-    """Rank of each suffix among all, by its first `window` bytes (padded by a byte below all others): equal ranks, equal bytes."""
+    """Rank of each suffix among all, by its first `window` bytes (padded by a byte below all others): equal ranks, equal bytes.
+
+    Ranks are doubled; a suffix whose rank is its own already keeps it, and only the others are sorted again.
+    """
     n = len(data)
     wide = np.zeros(n + window, np.uint64)
     wide[:n] = data.astype(np.uint64) + np.uint64(1)
@@ -89,16 +115,34 @@ def factor_ranks(data: np.ndarray, window: int) -> np.ndarray:
     packed = np.zeros(n, np.uint64)
     for j in range(span):
         packed = packed * np.uint64(512) + wide[j : n + j]
-    _, rank = np.unique(packed, return_inverse=True)
-    while span < window:
+    # a rank is the place of its first suffix in suffix order, so that ranks of finished suffixes stay valid
+    rank, tied = np.zeros(n, np.int64), np.arange(n)
+    tied = _ranked(rank, tied, packed, np.zeros(n, np.int64))
+    while span < window and len(tied):
         step = min(span, window - span)
-        second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:] + 1
-        _, rank = np.unique(rank.astype(np.int64) * (n + 2) + second, return_inverse=True)
+        after = tied + step
+        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        first = rank[tied]
+        tied = _ranked(rank, tied, first * (n + 2) + second, first)
         span += step
     return rank
 
 
+def _ranked(rank: np.ndarray, rows: np.ndarray, keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Set the rank of `rows` by their keys; `first`: the rank they share so far. Returns the rows that still share one."""
+    order = np.argsort(keys)
+    keys, base = keys[order], first[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    place = np.arange(len(rows))
+    group = np.ones(len(rows), bool)
+    group[1:] = base[1:] != base[:-1]
+    head = np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(group, place, 0))
+    rank[rows[order]] = base + head
+    alone = new & np.append(new[1:], True)
+    return rows[order[~alone]]
+
+
 def factors(data: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """For the suffixes at `starts` (ascending places): has an earlier one, has a later one, the same first `window` bytes?
 
@@ -140,7 +184,10 @@ def _pack(first: np.ndarray, last: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (first << 20) | ((last - first) << 10) | (place - first)
 
 
-def _anchored(window: int, carry: list[str]):
+NO_PASSAGES = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+
+
+def _anchored(window: int, carry: list[str], with_passages: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -148,57 +195,66 @@ def _anchored(window: int, carry: list[str]):
                 size = np.diff(offsets)
                 if len(size) and size.max() >= 1 << PLACE_BITS:
                     raise ValueError("a text of 256 MB or more is not supported")
-                text, first, last, place, anchor, whole = segments(data, offsets, window)
+                rolling = Rolling(data, 1)
+                text, first, last, place, anchor, whole = segments(data, offsets, window, rolling)
                 counts = np.bincount(text, minlength=hi - lo)
+                of, one, end, at, gram, span = passages(data, offsets, rolling) if with_passages else NO_PASSAGES
+                worded = np.bincount(of, minlength=hi - lo)
                 raw = data.tobytes()
                 packed = [zlib.compress(raw[a:b], 1) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + hi - lo)), *[batch[c].slice(lo, hi - lo) for c in carry], pa.array(size), pa.array(packed, pa.binary()), lists(signed(anchor), counts, pa.int64()), lists(signed(whole), counts, pa.int64()), lists(_pack(first, last, place), counts, pa.int64())],
-                    names=["rid", *carry, "n_bytes", "packed", "a", "c", "q"],
+                    [pa.array(np.arange(row, row + hi - lo)), *[batch[c].slice(lo, hi - lo) for c in carry], pa.array(size), pa.array(packed, pa.binary()), lists(signed(anchor), counts, pa.int64()), lists(signed(whole), counts, pa.int64()), lists(_pack(first, last, place), counts, pa.int64()), *(lists(v, worded, pa.int64()) for v in (signed(gram), signed(span), _pack(one, end, at)))],
+                    names=["rid", *carry, "n_bytes", "packed", "a", "c", "q", "wa", "wc", "wq"],
                 )
                 row += hi - lo
 
     return run
 
 
+#: What a row of contents is: bytes, or the digest of one window of bytes or of words.
+TEXT, BYTES, PASSAGES = 0, 1, 2
+
+
 def _contents(window: int):
-    """(rid, packed, wanted segments) -> their places and bytes, or for hot anchors the digests of their windows."""
+    """(rid, packed, wanted segments) -> their places and bytes, or for hot anchors and passages the digests of their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, c, rid, q, first, text, w1, w2 = ([] for _ in CONTENT_NAMES)
-            for i in range(batch.num_rows):
-                data = zlib.decompress(batch["packed"][i].as_py())
-                row, rolling = batch["rid"][i].as_py(), None
-                for want in batch["want"][i].as_py():
+            out = [[] for _ in CONTENT_NAMES]
+            size = 0
+            for row, packed, wants in zip(*(batch[n].to_pylist() for n in ("rid", "packed", "want")), strict=True):
+                data = zlib.decompress(packed)
+                rolling = words = None
+                for want in wants:
                     s = want["q"] >> 20
                     e = s + ((want["q"] >> 10) & 1023)
-                    if want["d"] <= HOT:
-                        a.append(want["a"]), c.append(want["c"]), rid.append(row), q.append(want["q"]), first.append(0), text.append(data[s : e + window]), w1.append(None), w2.append(None)
-                        continue
-                    if rolling is None:
-                        buffer = np.frombuffer(data, np.uint8)
-                        rolling = Rolling(buffer, 0), Rolling(buffer, 1)
-                    at = np.arange(s, e + 1)
-                    x, y = (signed(r.ranges(at, at + window)).tolist() for r in rolling)
-                    a += [want["a"]] * len(x)
-                    c += [want["c"]] * len(x)
-                    rid += [row] * len(x)
-                    q += [want["q"]] * len(x)
-                    first += range(len(x))
-                    text += [None] * len(x)
-                    w1 += x
-                    w2 += y
-                if sum(map(len, filter(None, text))) > 4 << 20 or len(a) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((a, c, rid, q, first, text, w1, w2), CONTENT_TYPES, strict=True)], names=CONTENT_NAMES)
-                    a, c, rid, q, first, text, w1, w2 = ([] for _ in CONTENT_NAMES)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((a, c, rid, q, first, text, w1, w2), CONTENT_TYPES, strict=True)], names=CONTENT_NAMES)
+                    what = want["what"]
+                    if what == TEXT:
+                        parts = [[0], [data[s : e + window]], [None], [None]]
+                        size += e + window - s
+                    else:
+                        at = np.arange(s, e + 1)
+                        if rolling is None:
+                            buffer = np.frombuffer(data, np.uint8)
+                            rolling = Rolling(buffer, 0), Rolling(buffer, 1)
+                        if what == PASSAGES and words is None:
+                            words = Rolling(worded(buffer, np.array([0, len(buffer)]), rolling[1])[0])
+                        x = (words.ranges(at, at + PASSAGE) if what == PASSAGES else rolling[0].ranges(at, at + window)).view(np.int64).tolist()
+                        y = [want["a"]] * len(x) if what == PASSAGES else rolling[1].ranges(at, at + window).view(np.int64).tolist()
+                        parts = [range(len(x)), [None] * len(x), x, y]
+                    n = len(parts[0])
+                    for o, v in zip(out, ([what] * n, [want["a"]] * n, [want["c"]] * n, [row] * n, [want["q"]] * n, [want["all"]] * n, *parts), strict=True):
+                        o += v
+                if size > 4 << 20 or len(out[0]) > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, CONTENT_TYPES, strict=True)], names=CONTENT_NAMES)
+                    out, size = [[] for _ in CONTENT_NAMES], 0
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, CONTENT_TYPES, strict=True)], names=CONTENT_NAMES)
 
     return run
 
 
-CONTENT_NAMES = ["a", "c", "rid", "q", "first", "content", "w1", "w2"]
-CONTENT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+CONTENT_NAMES = ["what", "a", "c", "rid", "q", "all", "first", "content", "w1", "w2"]
+CONTENT_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
 
 
 def _resolve(window: int, keep: str):
@@ -238,8 +294,8 @@ def _resolve(window: int, keep: str):
 def _cut(window: int, carry: list[str], with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[] for _ in range(4 + with_text)]
-            for packed, spans in zip(batch["packed"].to_pylist(), batch["spans"], strict=True):
+            out = [[] for _ in range(5 + with_text)]
+            for packed, spans, words in zip(batch["packed"].to_pylist(), batch["spans"], batch["words"], strict=True):
                 data = zlib.decompress(packed)
                 spans = spans.values
                 gone = merged(np.column_stack([spans.field("lo").to_numpy(), spans.field("hi").to_numpy()])) if spans is not None and len(spans) else np.zeros((0, 2), np.int64)
@@ -253,10 +309,13 @@ def _cut(window: int, carry: list[str], with_text: bool):
                 out[1].append(len(gone))
                 out[2].append(hashlib.sha256(rest).hexdigest())
                 out[3].append([{"start": lo, "end": hi} for lo, hi in gone.tolist()])
+                words = words.values
+                held = merged(np.column_stack([words.field("lo").to_numpy(), words.field("hi").to_numpy()])) if words is not None and len(words) else gone[:0]
+                out[4].append(int((held[:, 1] - held[:, 0]).sum()))
                 if with_text:
-                    out[4].append(_whole_characters(data, gone.tolist()))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
-            names = ["n_removed", "n_spans", "kept_sha256", "removed", "text"]
+                    out[5].append(_whole_characters(data, gone.tolist()))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.int64(), pa.string()]
+            names = ["n_removed", "n_spans", "kept_sha256", "removed", "n_shared_words", "text"]
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in carry], batch["n_bytes"], *[pa.array(v, t) for v, t in zip(out, kinds, strict=False)]], names=[*carry, "n_bytes", *names[: len(out)]])
 
     return run
@@ -275,26 +334,63 @@ def _whole_characters(data: bytes, gone: list) -> str:
     return b"".join([*kept, data[left:]]).decode("utf-8", "replace")
 
 
-def suffix_dedup(docs: DataFrame, window: int = 400, keep: str = "none", carry: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
-    """docs(text, *carry) -> *carry, n_bytes, n_removed, n_spans, kept_sha256, removed (spans of bytes)[, text as left]."""
+def _classes(parts: DataFrame) -> DataFrame:
+    """parts(rid, a, c, q) -> a, c, n (segments), most (largest rid), rid and q of the first segment."""
+    return parts.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.max("rid").alias("most"), F.min(F.struct("rid", "q")).alias("rep")).select("a", "c", "n", "most", "rep.rid", "rep.q")
+
+
+def _passages(base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments of words; the classes whose anchor two documents have (all: two have the class); what to ask of the contents."""
+    parts = base.select("rid", F.inline(F.arrays_zip(F.col("wa").alias("a"), F.col("wc").alias("c"), F.col("wq").alias("q"))))
+    classes = _classes(parts)
+    anchors = classes.groupBy("a").agg(F.count(F.lit(1)).alias("d"), F.min("rid").alias("lo"), F.max("most").alias("hi")).where("lo < hi").select("a", "d")
+    live = stored(classes.join(anchors, "a").select("a", "c", "rid", "q", "d", (F.col("rid") < F.col("most")).alias("all")), "passages")
+    release(base.sparkSession)
+    return parts, live, live.where("d >= 2").select("rid", "a", "c", "q", F.lit(PASSAGES).alias("what"), "all")
+
+
+def _shared_words(parts: DataFrame, live: DataFrame, content: DataFrame) -> DataFrame:
+    """(rid, lo, hi): spans of words in passages that another document holds too."""
+    start, width = F.shiftright("q", 20), F.shiftright("q", 10).bitwiseAND(1023)
+    rows = content.where(F.col("what") == PASSAGES)
+    windows = stored(rows.groupBy("w1", "w2").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.max("all").alias("any")).where("lo < hi or any").select("w1", "w2"), "windows")
+    marks = rows.where("not all").join(windows, ["w1", "w2"]).select("a", "c", F.col("first").alias("lo"), F.col("first").alias("hi"))
+    whole = live.where("all").select("a", "c", F.lit(0).alias("lo"), F.lit(1023).alias("hi"))
+    spans = parts.join(whole.unionByName(marks), ["a", "c"])
+    found = stored(spans.select("rid", (start + F.col("lo")).alias("lo"), (start + F.least(F.col("hi").cast("long"), width) + PASSAGE).alias("hi")), "shared-words")
+    forget(windows)
+    return found
+
+
+def suffix_dedup(docs: DataFrame, window: int = 400, keep: str = "none", carry: tuple[str, ...] = ("doc_id",), with_text: bool = False, with_passages: bool = False) -> DataFrame:
+    """docs(text, *carry) -> *carry, n_bytes, n_removed, n_spans, kept_sha256, removed (spans of bytes)[, text as left][, n_shared_words].
+
+    n_shared_words (asked for with `with_passages`) counts the words in passages, PASSAGE words in a row, that another
+    document holds as well, however few bytes they have.
+    """
     if not GRAM < window <= 1000 or keep not in ("none", "first"):
         raise ValueError(f"window {window} must be in {GRAM + 1}..1000, and keep {keep!r} be none or first")
     names = [f"k{i}" for i in range(len(carry))]
     spark, kinds = docs.sparkSession, dict(docs.dtypes)
     typed = ", ".join(f"{n} {kinds[c]}" for n, c in zip(names, carry, strict=True))
     source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)], text_of().alias("text"))
-    base = stored(source.mapInArrow(_anchored(window, names), f"rid long, {typed}, n_bytes long, packed binary, a array<long>, c array<long>, q array<long>"), "anchors")
+    base = stored(source.mapInArrow(_anchored(window, names, with_passages), f"rid long, {typed}, n_bytes long, packed binary, " + ", ".join(f"{x} array<long>" for x in ("a", "c", "q", "wa", "wc", "wq"))), "anchors")
     parts = base.select("rid", F.inline(F.arrays_zip("a", "c", "q")))
-    classes = parts.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "q")).alias("rep"))
+    classes = _classes(parts)
     anchors = classes.groupBy("a").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("total")).where("total >= 2").select("a", "d")
-    live = stored(classes.join(anchors, "a").select("a", "c", "n", "d", F.col("rep.rid").alias("rid"), F.col("rep.q").alias("q")), "classes")
+    live = stored(classes.join(anchors, "a").select("a", "c", "n", "d", "rid", "q"), "classes")
     release(spark)
-    want = live.where("d >= 2").groupBy("rid").agg(F.collect_list(F.struct("a", "c", "q", "d")).alias("want"))
-    content = stored(base.select("rid", "packed").join(want, "rid").select("rid", "packed", "want").mapInArrow(_contents(window), "a long, c long, rid long, q long, first int, content binary, w1 long, w2 long"), "contents")
+    asked = live.where("d >= 2").select("rid", "a", "c", "q", F.when(F.col("d") <= HOT, TEXT).otherwise(BYTES).alias("what"), F.lit(False).alias("all"))
+    if with_passages:
+        word_parts, word_live, more = _passages(base)
+        asked = asked.unionByName(more)
+    want = asked.groupBy("rid").agg(F.collect_list(F.struct("a", "c", "q", "what", "all")).alias("want"))
+    content = stored(base.select("rid", "packed").join(want, "rid").select("rid", "packed", "want").mapInArrow(_contents(window), "what int, a long, c long, rid long, q long, all boolean, first int, content binary, w1 long, w2 long"), "contents")
     release(spark)
     content = content.withColumn("place", F.struct("rid", "q"))
-    texts, single = content.where("content is not null"), content.where("content is null")
-    windows = single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m"), F.min("place").alias("kept")).where("m >= 2")
+    texts, single = content.where(F.col("what") == TEXT), content.where(F.col("what") == BYTES)
+    # stored, so that a digest that very many segments share can be split in the join
+    windows = stored(single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m"), F.min("place").alias("kept")).where("m >= 2"), "windows")
     hot = single.join(windows, ["w1", "w2"])
     if keep == "first":
         hot = hot.where("place > kept")
@@ -302,7 +398,11 @@ def suffix_dedup(docs: DataFrame, window: int = 400, keep: str = "none", carry:
     found = texts.select("a", "c", "place", "content").repartition("a").sortWithinPartitions("a", "place", "c").mapInArrow(_resolve(window, keep), "a long, c long, lo int, hi int")
     whole = live.where("n >= 2").select("a", "c", F.lit(0).alias("lo"), F.lit(1023).alias("hi"), F.struct("rid", "q").alias("rep"))
     some = stored(found.unionByName(hot), "marks")
-    forget(content), release(spark)
+    words = None
+    if with_passages:
+        words = _shared_words(word_parts, word_live, content)
+        forget(word_live)
+    forget(content), forget(windows), release(spark)
     start, width = F.shiftright("q", 20), F.shiftright("q", 10).bitwiseAND(1023)
     columns = ("rid", "q", "lo", "hi")
     if keep == "first":
@@ -312,9 +412,12 @@ def suffix_dedup(docs: DataFrame, window: int = 400, keep: str = "none", carry:
         everywhere = parts.join(whole, ["a", "c"])
         inside = live.where("n = 1").select("a", "c", "rid", "q").join(some, ["a", "c"])
     marked = everywhere.select(*columns).unionByName(inside.select(*columns))
-    spans = marked.select("rid", F.struct((start + F.col("lo")).alias("lo"), (start + F.least(F.col("hi").cast("long"), width) + window).alias("hi")).alias("s"))
-    gone = stored(spans.groupBy("rid").agg(F.collect_list("s").alias("spans")), "spans")
-    forget(live), forget(some), release(spark)
-    out = base.select("rid", *names, "n_bytes", "packed").join(gone, "rid", "left").select(*names, "n_bytes", "packed", "spans")
-    shape = f"{typed}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>" + ", text string" * with_text
-    return out.mapInArrow(_cut(window, names, with_text), shape).select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", *(["text"] if with_text else []))
+    span, none = F.struct("lo", "hi"), F.lit(None).cast("struct<lo:long,hi:long>")
+    spans = marked.select("rid", (start + F.col("lo")).alias("lo"), (start + F.least(F.col("hi").cast("long"), width) + window).alias("hi")).select("rid", span.alias("s"), none.alias("w"))
+    if words is not None:
+        spans = spans.unionByName(words.select("rid", none.alias("s"), span.alias("w")))
+    gone = stored(spans.groupBy("rid").agg(F.collect_list("s").alias("spans"), F.collect_list("w").alias("words")), "spans")
+    forget(live), forget(some), forget(words), release(spark)
+    out = base.select("rid", *names, "n_bytes", "packed").join(gone, "rid", "left").select(*names, "n_bytes", "packed", "spans", "words")
+    shape = f"{typed}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>, n_shared_words long" + ", text string" * with_text
+    return out.mapInArrow(_cut(window, names, with_text), shape).select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", *(["text"] if with_text else []), *(["n_shared_words"] if with_passages else []))

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 
 def suffix_dedup(texts, window=400, keep="none"):
@@ -24,6 +25,16 @@ def suffix_dedup(texts, window=400, keep="none"):
     return out
 
 
+def shared_words(texts, size=51):
+    """Words in strings of `size` words that another text holds as well."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    holders = defaultdict(set)
+    for d, w in enumerate(words):
+        for i in range(len(w) - size + 1):
+            holders[tuple(w[i : i + size])].add(d)
+    return [len({j for i in range(len(w) - size + 1) if len(holders[tuple(w[i : i + size])]) > 1 for j in range(i, i + size)}) for w in words]
+
+
 def quality_base(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -61,6 +72,104 @@ def decontaminate(docs, items, n=13):
     return out
 
 
+def near_items(docs, items, slop, n=13):
+    """How many items have a window of which all words lie within `slop` places of theirs, counted from the rarest word's."""
+    if not slop:
+        return [0] * len(docs)
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(t)) for t in docs]
+    count = Counter(w for ws in words for w in ws)
+    found = [set() for _ in docs]
+    for item, text in items:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))
+        for i in range(max(1, len(w) - n + 1)) if w and item is not None else ():
+            window = w[i : i + n]
+            rare = min(range(len(window)), key=lambda j: (count[window[j]], j))
+            for d, ws in enumerate(words):
+                for p in (p for p, x in enumerate(ws) if x == window[rare] and str(item) not in found[d]):
+                    if all(any(0 <= q < len(ws) and ws[q] == x for q in range(p - rare + j - slop, p - rare + j + slop + 1)) for j, x in enumerate(window) if j != rare):
+                        found[d].add(str(item))
+    return [len(f) for f in found]
+
+
+class _Blocks(HTMLParser):
+    """Blocks of well-formed pages: (text, characters in links, in a bad container, article)."""
+
+    BREAKS = frozenset("p div li ul h1 article nav footer body html head title style script".split())
+
+    def __init__(self, page):
+        super().__init__()
+        self.out, self.stack, self.text, self.linked, self.link, self.articles = [], [], "", 0, False, 0
+        self.feed(page)
+        self.close()
+        self.done()
+
+    def done(self):
+        text = " ".join(self.text.split())
+        bad, article = any(x[1] for x in self.stack), max([x[2] for x in self.stack], default=0)
+        if text:
+            self.out.append((text, self.linked / len(text), bad, 0 if bad else article, any(x[0] == "h1" for x in self.stack)))
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BREAKS:
+            self.done()
+            while tag == "p" and self.stack and self.stack[-1][0] == "p":
+                self.stack.pop()
+            self.articles += tag == "article"
+            self.stack.append((tag, tag in ("nav", "footer") or ("class", "ad") in attrs, self.articles if tag == "article" else 0))
+        self.link = tag == "a" or (self.link and tag not in self.BREAKS)
+        self.text += " " * (tag == "br")
+
+    def handle_endtag(self, tag):
+        if tag in self.BREAKS:
+            self.done()
+            if any(x[0] == tag for x in self.stack):
+                while self.stack.pop()[0] != tag:
+                    pass
+        if tag == "a":
+            self.link = False
+
+    def handle_data(self, data):
+        if not any(x[0] in ("style", "script", "title") for x in self.stack):
+            self.text += data
+            self.linked += len(data.strip()) if self.link else 0
+
+
+def main_text(page):
+    from quillmesh.llm.html_main import STOP_WORDS
+
+    found = _Blocks(page).out
+
+    def label(text, links, bad, article, _):
+        if bad or links > 0.33:
+            return -1
+        words = re.findall(r"\w+", text.lower())
+        density = len([w for w in words if w in STOP_WORDS]) / max(1, len(words))
+        if len(text) < 70:
+            return -1 if links and not article else "short"
+        if article:
+            return 1 if density >= 0.2 else "few"
+        if density >= 0.3 and len(text) > 200:
+            return 1
+        return "nearly" if density >= 0.2 else -1
+
+    labels = [label(*b) for b in found]
+    kept = []
+    for i, (b, x) in enumerate(zip(found, labels)):
+        near = lambda way, same: next((labels[j] for j in (range(i - 1, -1, -1) if way < 0 else range(i + 1, len(labels))) if labels[j] in (1, -1) and (not same or found[j][3] == b[3])), 0)  # noqa: E731, B023
+        if x in (1, -1):
+            good = x == 1
+        elif b[3]:
+            some = any(y == 1 and c[3] == b[3] for y, c in zip(labels, found))
+            good = not some or not near(-1, True) == near(1, True) == -1
+        else:
+            left, right = near(-1, False) == 1, near(1, False) == 1
+            good = left and right or x == "nearly" and (left or right or 1 not in labels) or b[4] and right
+        if good:
+            kept.append(b[0])
+    return " ".join(kept)
+
+
 def shingles(text, n=4):
     words = re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(text))
     if not words:

@@ -12,12 +12,12 @@ from quillmesh.llm import queries as Q
 from quillmesh.llm.boosting import Boosted, Isotonic
 from quillmesh.llm.common import text_chunks
 from quillmesh.llm.cotraining import cotraining
-from quillmesh.llm.decontaminate import decontaminate
+from quillmesh.llm.decontaminate import build_index, decontaminate, search_index
 from quillmesh.llm.html_main import extract_main, main_text
 from quillmesh.llm.ngram_join import ngram_join
 from quillmesh.llm.packing import hilbert, pack
 from quillmesh.llm.quality_rules import js_distance, quality_rules
-from quillmesh.llm.sharding import shard
+from quillmesh.llm.sharding import cut_rows, shard
 from quillmesh.llm.suffix_dedup import factors, merged, suffix_dedup
 from quillmesh.llm.toxicity import toxicity
 from quillmesh.llm.url_filter import url_filter
@@ -78,7 +78,9 @@ def test_suffix_dedup_keeps_the_first(spark, lister):
     got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).sortWithinPartitions("doc_id"), keep="first", with_text=True)
     assert lister(got, "doc_id", *COLUMNS1) == paired(rows, brute.suffix_dedup([r[1] for r in rows], keep="first"))
     texts = {r["doc_id"]: r["text"] for r in got.collect()}
-    assert sum(passage in t for t in texts.values()) == 1 and all(t in r[1] or True for t, r in zip(texts.values(), rows))
+    assert sum(passage in t for t in texts.values()) == 1
+    # characters that only partly lie in a removed span stay
+    assert all(0 <= len(r["text"].encode()) - (r["n_bytes"] - r["n_removed"]) <= 6 * r["n_spans"] for r in got.collect())
 
 
 def test_suffix_dedup_leaves_whole_characters(spark):
@@ -89,11 +91,45 @@ def test_suffix_dedup_leaves_whole_characters(spark):
 
 def test_suffix_dedup_whole_table(spark, tiny, lister):
     rows = table(spark, tiny, "documents")
-    assert lister(Q.op1_suffix_dedup(spark, tiny), "doc_id", *COLUMNS1) == paired(rows, brute.suffix_dedup([r[1] for r in rows]))
+    texts = [r[1] for r in rows]
+    wanted = [(*x, n) for x, n in zip(brute.suffix_dedup(texts), brute.shared_words(texts))]
+    assert lister(Q.op1_suffix_dedup(spark, tiny), "doc_id", *COLUMNS1, "n_shared_words") == paired(rows, wanted)
 
 
 def test_suffix_dedup_nothing(nothing):
-    assert suffix_dedup(nothing).count() == 0
+    assert suffix_dedup(nothing, with_passages=True).count() == 0
+
+
+def test_shared_words_of_odd_rows(docs, rows, lister):
+    got = lister(suffix_dedup(docs, with_passages=True), "doc_id", *COLUMNS1, "n_shared_words")
+    texts = [r[1] for r in rows]
+    assert got == paired(rows, [(*x, n) for x, n in zip(brute.suffix_dedup(texts), brute.shared_words(texts))])
+
+
+def test_shared_words_of_short_passages(spark, lister):
+    """Passages of 49 to 53 words, of under 400 bytes, in two documents, in one twice, and in very many."""
+    from .conftest import prose
+
+    rows, shorts = [], [" ".join(w[:5] for w in prose(50 + k, 49 + k).split()) for k in range(5)]
+    for k, x in enumerate(shorts):
+        rows += [(10 * k + j, f"{prose(1000 + 10 * k + j, 70)} {x}{' ' * (j + 1)}{prose(2000 + 10 * k + j, 60)}") for j in range(2)]
+    rows += [(100, f"{prose(301, 30)} {shorts[4]} {prose(302, 30)} {shorts[4]}"), (101, f"{prose(303, 60)} {(y := prose(99, 52))} z {y}"), (102, shorts[4])]
+    rows += [(200 + j, f"{prose(3000 + j, 40)} {shorts[3]} {prose(4000 + j, 30)}") for j in range(90)]
+    got = {r["doc_id"]: r["n_shared_words"] for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_passages=True).collect()}
+    assert got == dict(zip([i for i, _ in rows], brute.shared_words([t for _, t in rows])))
+    assert got[0] == got[10] == got[101] == 0 and got[20] == 51 and got[100] == 106
+
+
+@pytest.mark.parametrize("window", [5, 7, 40])
+def test_factor_ranks_group_equal_beginnings(window):
+    from quillmesh.llm.suffix_dedup import factor_ranks
+
+    g = np.random.default_rng(window)
+    data = np.concatenate([g.integers(97, 99, 300), np.full(80, 97), g.integers(97, 99, 60).repeat(2)]).astype(np.uint8)
+    data[200:260] = data[20:80]
+    ranks, keys = factor_ranks(data, window), [bytes(data[i : i + window]) for i in range(len(data))]
+    assert all((ranks[i] < ranks[j]) == (keys[i] < keys[j]) for i in range(0, len(data), 7) for j in range(len(data)))
+    assert len(set(zip(ranks.tolist(), keys))) == len(set(ranks.tolist())) == len(set(keys))
 
 
 # quality rules
@@ -146,6 +182,23 @@ def test_main_text():
     assert main_text(PAGE) == "A title One & two and three bold. Next link of text, and the rest of the block is not a link at all."
 
 
+def test_main_text_against_a_plain_version(spark):
+    """Pages with and without an article element, of good prose, few stop words, link lists and short blocks."""
+    rows = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    plain = [h.replace("<article>", "<div>").replace("</article>", "</div>") for h in rows]
+    links = [h.replace("<h1>", "<ul><li><a href='x'>One link</a></li><li><a href='y'>and another link</a></li></ul><h1>", 1) for h in rows[:50]]
+    whole = [main_text(h) for h in rows]
+    for page in [*rows, *plain, *links]:
+        assert main_text(page) == brute.main_text(page)
+    assert [main_text(h) for h in links] == whole[:50]  # link lists in an article are no part of it
+    assert sum(map(len, map(main_text, plain))) > 0.7 * sum(map(len, whole))  # without the hint most is found
+
+
+def test_main_text_needs_no_copyright_rule():
+    text = "The history of the law of copyright is long, and it is told in this book by one of the best. " * 3
+    assert main_text(f"<article><p>{text}</p><p>\xa9 is its sign.</p><p>{text}</p></article>") == " ".join([text.strip(), "\xa9 is its sign.", text.strip()])
+
+
 def test_main_text_by_blocks_alone():
     good = "The cat is in the house and it is on the mat, as it was in the days of old when the king of the land was not at home for the winter. " * 2
     page = f"<div><p><a href=a>One</a> <a href=b>Two</a></p><p>{good}</p><p>Short one.</p><p>{good}</p><p>Copyright \xa9 2020</p><p>tail</p></div>"
@@ -310,7 +363,8 @@ def test_decontaminate_in_blocks(spark, docs, rows, lister, monkeypatch):
     from quillmesh.llm import decontaminate as module
 
     items = [(i, r[1]) for i, r in enumerate(rows) if i % 7 == 1]
-    monkeypatch.setattr(module, "BLOCK_BYTES", 500)
+    for name, bound in (("SEGMENT", 3000), ("TERMS", 200), ("WINDOWS", 150), ("TOGETHER", 40)):
+        monkeypatch.setattr(module, name, bound)
     got = lister(decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")), "doc_id", *COLUMNS6)
     assert got == paired(rows, brute.decontaminate([r[1] for r in rows], items))
 
@@ -321,6 +375,18 @@ def test_decontaminate_whole_table(spark, tiny, lister):
     assert got == paired(rows, brute.decontaminate([r[1] for r in rows], table(spark, tiny, "benchmark")))
 
 
+def test_one_index_serves_many_test_sets(spark, docs, rows, lister):
+    """Also proximity matches against a plain version, and windows that several items share."""
+    index = build_index(docs)
+    texts = [r[1] for r in rows]
+    for k, slop in ((3, 0), (5, 2)):
+        items = [(i, r[1]) for i, r in enumerate(rows) if i % k == 1] + [(1000, rows[8][1]), (1001, "a c b"), (None, "two words")]
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        out = search_index(index, bench, slop=slop)
+        assert lister(out, "doc_id", *COLUMNS6) == paired(rows, brute.decontaminate(texts, items))
+        assert lister(out, "doc_id", "n_near") == paired(rows, [(n,) for n in brute.near_items(texts, items, slop)])
+
+
 def test_proximity(spark):
     item = " ".join(f"w{i}" for i in range(13))
     gap = item.replace("w6 ", "w6 extra ")
@@ -468,6 +534,14 @@ def test_sharding_keeps_groups_together(spark):
     assert len(cut) <= 8 and len(where[zlib.crc32(b"hot")]) <= 5
 
 
+def test_propagation_saves_links(spark):
+    """Without label propagation nearly all groups are cut; with it none is that a shard can hold."""
+    rows = [(i, f"single {i}") for i in range(300)] + [(1000 + i, f"group {i // 6}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = [cut_rows(shard(docs, rounds=k)) for k in (0, 6)]
+    assert cut[0] > 300 and cut[1] <= 7
+
+
 def test_sharding_whole_table(spark, tiny):
     check_shards(Q.op10_sharding(spark, tiny).collect(), table(spark, tiny, "documents"))
 
