@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import signal
+import threading
 
 from pyspark.sql import SparkSession
 
@@ -58,8 +59,13 @@ def main(argv: list[str] | None = None) -> int:
             parser().error("one of --file, --load, --resume is needed")
     print(learner.config.describe())
     stopped: list[int] = []
-    signal.signal(signal.SIGINT, lambda *_: stopped.append(1))
-    for row in learner.fit(args.max_iters, lambda: bool(stopped)):
+    before = signal.signal(signal.SIGINT, lambda *_: stopped.append(1)) if threading.current_thread() is threading.main_thread() else None
+    try:
+        history = learner.fit(args.max_iters, lambda: bool(stopped))
+    finally:
+        if before is not None:
+            signal.signal(signal.SIGINT, before)
+    for row in history:
         print(f"ppx[{row['step']}] = {row['ppx']:.6f} (links {row['n_link']}: {row['ll_link']:.4f}, non-links {row['n_nonlink']}: {row['ll_nonlink']:.4f})")
     for phase, seconds in learner.stats().items():
         print(f"{phase}: {seconds:.2f} s")

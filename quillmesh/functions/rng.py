@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,12 +50,47 @@ def exponential(scale: float, salt: str, *parts: Column | str | int) -> Column:
     return F.lit(-float(scale)) * F.log(uniform(salt, *parts))
 
 
-def generator(salt: str, *parts) -> np.random.Generator:
-    """A numpy generator seeded by the same kind of key, for distributions without a closed form."""
-    return np.random.default_rng(int.from_bytes(hashlib.md5(":".join([salt, *map(str, parts)]).encode()).digest()[:8], "little"))
+#: Tries of a gamma draw; each fails in less than one of twenty cases, so that all fail in none.
+TRIES = 20
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value made once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _gamma_constants(shape: float) -> tuple[float, float]:
+    d = (shape if shape >= 1 else shape + 1) - 1 / 3
+    return d, 1 / math.sqrt(9 * d)
+
+
+def gamma(shape: float, scale: float, salt: str, *parts: Column | str | int) -> Column:
+    """Gamma draws of any shape: for shape 1 the closed form, else Marsaglia and Tsang's method, a try after another."""
+    if shape == 1.0:
+        return exponential(scale, salt, *parts)
+    d, c = _gamma_constants(shape)
+
+    def one(j: int) -> Column:
+        u = uniform(salt + "/u", *parts, j)
+        good = lambda x, v: (v > 0) & (F.log(u) < 0.5 * x * x + d - d * v + d * F.log(v))
+        return _let(normal(salt + "/x", *parts, j), lambda x: _let(F.pow(1 + c * x, F.lit(3.0)), lambda v: F.when(good(x, v), d * v)))
+
+    draw = F.coalesce(*[one(j) for j in range(TRIES)], F.lit(d))
+    if shape < 1:
+        draw = draw * F.pow(uniform(salt + "/b", *parts), F.lit(1 / shape))
+    return F.greatest(scale * draw, F.lit(1e-300))
 
 
 def gamma_value(shape: float, scale: float, salt: str, *parts) -> float:
+    """The same draw on the driver."""
     if shape == 1.0:
         return -scale * math.log(uniform_value(salt, *parts))
-    return float(max(generator(salt, *parts).gamma(shape, scale), 1e-300))
+    (d, c), draw = _gamma_constants(shape), None
+    for j in range(TRIES):
+        x = normal_value(salt + "/x", *parts, j)
+        v = (1 + c * x) ** 3
+        if v > 0 and math.log(uniform_value(salt + "/u", *parts, j)) < 0.5 * x * x + d - d * v + d * math.log(v):
+            draw = d * v
+            break
+    draw = d if draw is None else draw
+    return max(scale * draw * (uniform_value(salt + "/b", *parts) ** (1 / shape) if shape < 1 else 1.0), 1e-300)

@@ -2,33 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.rng import exponential, gamma_value
+from ..functions.rng import gamma, gamma_value
 
 
 def gamma_cells(spark: SparkSession, rows: int, cols: int, shape: float, scale: float, salt: str, seed: int) -> DataFrame:
-    """(n, k, x): independent gamma draws. Shape 1 has a closed form and stays in the JVM."""
+    """(n, k, x): independent gamma draws."""
     cells = spark.range(rows).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("k"))
-    if shape == 1.0:
-        return cells.withColumn("x", exponential(scale, salt, seed, F.col("n"), F.col("k")))
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(x=[gamma_value(shape, scale, salt, seed, n, k) for n, k in zip(b.n, b.k, strict=True)])
-
-    return cells.mapInPandas(draw, "n long, k int, x double")
+    return cells.withColumn("x", gamma(shape, scale, salt, seed, F.col("n"), F.col("k")))
 
 
 def pi_table(spark: SparkSession, n_vertices: int, config: Config) -> DataFrame:
-    """(n, pi ARRAY<DOUBLE>, phi_sum): gamma(eta0, eta1) rows, normalised; their mass is kept."""
-    cells = gamma_cells(spark, n_vertices, config.k, config.eta0, config.eta1, "pi", config.seed)
-    rows = cells.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("x"))
+    """(n, pi ARRAY<DOUBLE>, phi_sum): gamma(eta0, eta1) rows, normalised; their mass is kept. Each row is drawn where it is, without a shuffle."""
+    draw = lambda k: gamma(config.eta0, config.eta1, "pi", config.seed, F.col("n"), k)
+    rows = spark.range(n_vertices).select(F.col("id").alias("n")).withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(config.k - 1)), draw))
     mass = rows.withColumn("phi_sum", F.aggregate("x", F.lit(0.0), lambda a, x: a + x))
     return mass.select("n", F.transform("x", lambda x: x / F.col("phi_sum")).alias("pi"), "phi_sum")
 

@@ -61,36 +61,48 @@ def pi_update(phi: DataFrame) -> DataFrame:
     return phi.select("n", "k", (F.col("phi") / total).alias("p"), total.alias("phi_sum"))
 
 
-def overlay(pi: DataFrame, new: DataFrame) -> DataFrame:
-    """pi(n, pi, phi_sum) with the rows of `new` in place of the old ones."""
+def overlay(pi: DataFrame, new: DataFrame, few: bool = False) -> DataFrame:
+    """pi(n, pi, phi_sum, ...) with the rows of `new` in place of the old ones; a few are broadcast, which keeps pi's order."""
     fresh = new.select("n", F.col("pi").alias("__pi"), F.col("phi_sum").alias("__s"))
-    return pi.join(fresh, "n", "left").select("n", F.coalesce("__pi", "pi").alias("pi"), F.coalesce("__s", "phi_sum").alias("phi_sum"))
+    joined = pi.join(F.broadcast(fresh) if few else fresh, "n", "left")
+    return joined.withColumns({"pi": F.coalesce("__pi", "pi"), "phi_sum": F.coalesce("__s", "phi_sum")}).drop("__pi", "__s")
 
 
-def phi_step_rows(pa_: np.ndarray, s: float, pb: np.ndarray, y: np.ndarray, beta: np.ndarray, epsilon: float) -> np.ndarray:
-    """The gradient of one node from its neighbours' rows."""
-    f = np.where(y[:, None] == 1, beta - epsilon, epsilon - beta)
-    e = np.where(y[:, None] == 1, epsilon, 1 - epsilon)
-    p = pa_ * (pb * f + e)
-    return (p / p.sum(axis=1, keepdims=True) / (pa_ * s) - 1 / s).sum(axis=0)
+def phi_step_rows(pa_: np.ndarray, s: np.ndarray, pb: np.ndarray, y: np.ndarray, first: np.ndarray, beta: np.ndarray, epsilon: float) -> np.ndarray:
+    """The gradients of nodes (rows of pa_, with masses s) from their neighbours' rows, those of a node from its `first` on."""
+    of = np.repeat(np.arange(len(pa_)), np.diff(np.append(first, len(pb))))
+    link = y[:, None] == 1
+    p = pa_[of] * (pb * np.where(link, beta - epsilon, epsilon - beta) + np.where(link, epsilon, 1 - epsilon))
+    mass = s[of, None]
+    return np.add.reduceat(p / p.sum(axis=1, keepdims=True) / (pa_[of] * mass) - 1 / mass, first, axis=0)
+
+
+def _rows(column: pa.Array, k: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
 def arrow_step(gathered: DataFrame, beta: list[float], n_vertices: int, config: Config, t: int) -> DataFrame:
-    """gathered(n, pi, phi_sum, nb array<struct<m, y, pb>>) -> (n, pi, phi_sum): gradient, update and normalisation."""
-    eps, b = config.step_size(t), np.array(beta)
+    """gathered(n, pi, phi_sum, nb array<struct<m, y, pb>>) -> (n, pi, phi_sum): gradient, update and normalisation.
+
+    Each node has a neighbour. They are put in the order of m, so that a rerun adds up the same bits.
+    """
+    eps, b, k = config.step_size(t), np.array(beta), config.k
+    draw = lambda i: noise_column(config.noise, "phi-noise", config.seed, t, F.col("n"), i)
+    noisy = gathered.withColumn("nb", F.array_sort("nb")).withColumn("noise", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), draw))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, mass = [], []
-            for n, pi, s, nb in zip(*(batch[c].to_pylist() for c in ("n", "pi", "phi_sum", "nb")), strict=True):
-                nb.sort(key=lambda x: x["m"])  # one order of summation, so that a rerun gives the same bits
-                row = np.array(pi)
-                g = phi_step_rows(row, s, np.array([x["pb"] for x in nb]), np.array([x["y"] for x in nb]), b, config.epsilon)
-                phi = row * s
-                noise = np.array([noise_value(config.noise, "phi-noise", config.seed, t, n, k) for k in range(len(row))])
-                phi = np.maximum(np.abs(phi + eps / 2 * (config.prior - phi + n_vertices / config.neighbors * g) + np.sqrt(eps * phi) * noise), TINY)
-                mass.append(float(phi.sum()))
-                out.append(phi / mass[-1])
-            yield pa.RecordBatch.from_arrays([batch["n"], pa.array([o.tolist() for o in out], pa.list_(pa.float64())), pa.array(mass, pa.float64())], names=["n", "pi", "phi_sum"])
-
-    return gathered.mapInArrow(run, "n long, pi array<double>, phi_sum double")
+            if not batch.num_rows:
+                continue
+            nb = batch["nb"]
+            at = nb.offsets.to_numpy()
+            of = nb.flatten()
+            row, s = _rows(batch["pi"], k), batch["phi_sum"].to_numpy()
+            g = phi_step_rows(row, s, _rows(of.field("pb"), k), of.field("y").to_numpy(), at[:-1] - at[0], b, config.epsilon)
+            phi = row * s[:, None]
+            phi = np.maximum(np.abs(phi + eps / 2 * (config.prior - phi + n_vertices / config.neighbors * g) + np.sqrt(eps * phi) * _rows(batch["noise"], k)), TINY)
+            mass = phi.sum(axis=1)
+            pi = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * k), pa.array((phi / mass[:, None]).ravel()))
+            yield pa.RecordBatch.from_arrays([batch["n"], pi, pa.array(mass)], names=["n", "pi", "phi_sum"])
+
+    return noisy.select("n", "pi", "phi_sum", "nb", "noise").mapInArrow(run, "n long, pi array<double>, phi_sum double")

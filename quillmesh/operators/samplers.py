@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..config import Config, Strategy
 from ..functions.rng import randint, uniform, uniform_value
-from ..storage import stored
+from ..storage import forget, stored
 from .membership import others
 from .split import Split
 
@@ -37,12 +37,8 @@ def _draws(salt: str, config: Config, t: int, n_vertices: int) -> Iterator[int]:
     return (int(uniform_value(salt, config.seed, t, j) * n_vertices) for j in count())
 
 
-def _ends_among(train: DataFrame, vertices: list[int]) -> set[int]:
-    """Those of a few vertices that have training edges: one filtered scan, without a shuffle of the edges."""
-    wanted = F.array(*[F.lit(v) for v in vertices])
-    ends = F.explode(F.array("u", "v"))
-    found = train.where(F.col("u").isin(vertices) | F.col("v").isin(vertices)).select(ends.alias("n")).where(F.array_contains(wanted, F.col("n")))
-    return {r["n"] for r in found.distinct().collect()}
+def _oriented(ends: DataFrame) -> DataFrame:
+    return ends.select(F.least("n", "m").alias("u"), F.greatest("n", "m").alias("v")).distinct()
 
 
 def _first_ranked(vertices: DataFrame, salt: str, config: Config, t: int, without: set[int]) -> int | None:
@@ -57,7 +53,7 @@ def _first_linked(split: Split, salt: str, config: Config, t: int, without: set[
     draws = _draws(salt, config, t, split.n_vertices)
     for _ in range(MISSES // DRAWN_AT_ONCE):
         some = [v for v in islice(draws, DRAWN_AT_ONCE) if v not in without]
-        linked = _ends_among(split.train, sorted(set(some))) if some else set()
+        linked = {r["n"] for r in split.incident(sorted(set(some))).select("n").distinct().collect()} if some else set()
         if (found := next((v for v in some if v in linked), None)) is not None:
             return found
     return _first_ranked(split.train.select(F.explode(F.array("u", "v")).alias("n")), salt, config, t, without)
@@ -66,8 +62,8 @@ def _first_linked(split: Split, salt: str, config: Config, t: int, without: set[
 def node_link(split: Split, config: Config, t: int) -> Batch:
     """All training edges of a random vertex that has any. Weight: N."""
     u = _first_linked(split, "node-link", config, t)
-    edges = split.train.where((F.col("u") == u) | (F.col("v") == u)) if u is not None else split.train.limit(0)
-    return Batch(edges.select("u", "v"), float(split.n_vertices))
+    edges = _oriented(split.incident([u])) if u is not None else split.train.select("u", "v").limit(0)
+    return Batch(edges, float(split.n_vertices))
 
 
 def node_non_link(split: Split, config: Config, t: int) -> Batch:
@@ -77,15 +73,21 @@ def node_non_link(split: Split, config: Config, t: int) -> Batch:
     """
     spark, m, n = split.train.sparkSession, config.mini_batch, split.n_vertices
     u = next(_draws("node", config, t, n))
-    known = split.train.union(split.heldout.select("u", "v")).where((F.col("u") == u) | (F.col("v") == u))
+    known = _oriented(split.incident([u])).union(split.heldout.select("u", "v").where((F.col("u") == u) | (F.col("v") == u)))
     draws = 4 * m + 64
     while True:
         drawn = spark.range(draws).select(F.col("id").alias("j"), randint(n, "non-link", config.seed, t, F.col("id")).alias("other")).where(F.col("other") != u)
         pairs = drawn.groupBy("other").agg(F.min("j").alias("j")).select(F.least(F.lit(u), "other").alias("u"), F.greatest(F.lit(u), "other").alias("v"), "j")
         chosen = stored(others(pairs, known).orderBy("j").limit(m).select("u", "v"), "non-link-batch")
-        if draws > 64 * (n + m) or chosen.count() == m:
-            return Batch(chosen, 2.0 * split.n_edges / m)
+        if chosen.count() == m:
+            break
+        forget(chosen)
+        if draws > 8 * (n + m):  # nearly every other vertex is taken: the free ones themselves, ranked
+            free = spark.range(n).where(F.col("id") != u).select(F.least(F.lit(u), "id").alias("u"), F.greatest(F.lit(u), "id").alias("v"), uniform("non-link-rank", config.seed, t, F.col("id")).alias("j"))
+            chosen = stored(others(free, known).orderBy("j", "u", "v").limit(m).select("u", "v"), "non-link-batch")
+            break
         draws *= 8
+    return Batch(chosen, 2.0 * split.n_edges / m)
 
 
 def coin(config: Config, t: int) -> bool:
@@ -114,8 +116,7 @@ def bf_link(split: Split, config: Config, t: int) -> Batch:
     Within a level, edges are taken in a random order. A level is one join of the training edges with the frontier, cut to
     what is still wanted; so what the driver holds is bounded by m.
     """
-    spark, m = split.train.sparkSession, config.mini_batch
-    visited, taken, frontier = set(), {}, []
+    m, visited, taken, frontier = config.mini_batch, set(), {}, []
     while len(taken) < m:
         if not frontier:
             start = _unvisited(split, visited, "bf-link", config, t, True)
@@ -123,8 +124,7 @@ def bf_link(split: Split, config: Config, t: int) -> Batch:
                 break
             frontier = [start]
         visited.update(frontier)
-        ends = F.broadcast(spark.createDataFrame([(n,) for n in frontier], "n long"))
-        met = split.train.join(ends, (F.col("u") == F.col("n")) | (F.col("v") == F.col("n"))).select("u", "v").distinct()
+        met = _oriented(split.incident(frontier))
         rows = met.orderBy(uniform("bf-edge", config.seed, t, F.col("u"), F.col("v")), "u", "v").limit(m).collect()
         fresh = [(r["u"], r["v"]) for r in rows if (r["u"], r["v"]) not in taken][: m - len(taken)]
         taken.update(dict.fromkeys(fresh))
@@ -168,6 +168,21 @@ SAMPLERS: dict[Strategy, Callable[[Split, Config, int], Batch]] = {
 }
 
 
+def neighbors_of_few(nodes: list[int], n_vertices: int, many: int, seed: int, t: int) -> list[tuple[int, int]]:
+    """The pairs (n, m) of `neighbor_sample`, drawn on the driver for a small mini-batch."""
+    if many >= n_vertices:
+        raise ValueError(f"{many} neighbours asked for of {n_vertices} vertices")
+    out = []
+    for n in nodes:
+        draws = (int(uniform_value("neighbor", seed, t, n, j) * n_vertices) for j in count())
+        chosen: dict[int, None] = {}
+        while len(chosen) < many:
+            if (m := next(draws)) != n:
+                chosen[m] = None
+        out += [(n, m) for m in chosen]
+    return out
+
+
 def neighbor_sample(nodes: DataFrame, n_vertices: int, many: int, seed: int, t: int) -> DataFrame:
     """(n, m): for each node, `many` distinct vertices other than itself, uniform over all.
 

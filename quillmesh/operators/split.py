@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import randint
 from ..storage import stored
-from .graph import shuffled
+from .graph import directed, shuffled
 from .membership import others
 from .numbering import number_rows
 
@@ -21,6 +21,19 @@ class Split:
     n_edges: int
     train: DataFrame
     heldout: DataFrame  # (u, v, y): links, then as many pairs that are no links
+    ends: DataFrame | None = None  # (n, m): the training edges in both directions, by vertex
+
+    def by_vertex(self) -> Split:
+        """With the training edges of a vertex side by side, so that a few vertices' edges are found without a full scan."""
+        lined = directed(self.train).repartitionByRange("n", "m").sortWithinPartitions("n", "m")
+        return replace(self, ends=stored(lined, "ends"))
+
+    def incident(self, vertices: list[int]) -> DataFrame:
+        """(n, m): the training edges of a few vertices n."""
+        here = F.col("n").isin(vertices)
+        if self.ends is not None:
+            return self.ends.where(here)
+        return directed(self.train.where(F.col("u").isin(vertices) | F.col("v").isin(vertices))).where(here)
 
     @property
     def heldout_links(self) -> DataFrame:

@@ -7,6 +7,7 @@ import time
 from collections import defaultdict
 from concurrent.futures import Future, ThreadPoolExecutor
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +19,26 @@ from ..operators.graph import canonical, dense, ends_of, vertex_ids
 from ..operators.initial import beta_of, pi_table, theta_rows
 from ..operators.membership import members
 from ..operators.phi import arrow_step, overlay
-from ..operators.samplers import SAMPLERS, Batch, neighbor_sample
+from ..operators.samplers import SAMPLERS, Batch, neighbor_sample, neighbors_of_few
 from ..operators.split import Split, split_edges, training_ppx_edges
 from ..sources.edges import metrics
 from ..storage import forget, stored
 
-#: Rows up to which a mini-batch's side of a join is broadcast; counted, not guessed.
-BROADCAST_ROWS = 500_000
+#: Rows up to which a mini-batch's side of a join is broadcast, and pairs up to which it is held by the driver; counted, not guessed.
+BROADCAST_ROWS, DRIVER_PAIRS = 500_000, 50_000
+#: Vertices that are looked up by a list in the filter.
+LISTED = 4096
+
+
+@dataclass(frozen=True)
+class Sample:
+    """A mini-batch with flagged edges (u, v, y) and flagged pairs (n, m, y) of its nodes and their neighbours."""
+
+    batch: Batch
+    pairs: DataFrame
+    n_nodes: int
+    few: bool
+    listed: list[int] | None = None
 
 
 class PiStore:
@@ -34,24 +48,29 @@ class PiStore:
     """
 
     def __init__(self, base: DataFrame, compact_every: int):
-        self.base, self.delta, self.changes, self.compact_every = base, None, 0, compact_every
+        self.base, self.delta, self.changes, self.compact_every, self.held = base, None, 0, compact_every, 0
 
     def table(self) -> DataFrame:
-        return self.base if self.delta is None else overlay(self.base, self.delta)
+        return self.base if self.delta is None else overlay(self.base, self.delta, self.held <= BROADCAST_ROWS)
 
-    def rows(self, nodes: DataFrame, few: bool) -> DataFrame:
-        """The rows of `nodes` (n)."""
-        found = self.base.join(F.broadcast(nodes) if few else nodes, "n")
-        return found if self.delta is None else overlay(found, self.delta)
+    def rows(self, nodes: DataFrame, few: bool, listed: list[int] | None = None) -> DataFrame:
+        """nodes(n, ...), with repeats, and their rows. A short list of the numbers spares reading most of the table, which is in their order."""
+        base = self.base if listed is None or len(listed) > LISTED else self.base.where(F.col("n").isin(listed))
+        found = base.join(F.broadcast(nodes) if few else nodes, "n")
+        return found if self.delta is None else overlay(found, self.delta, self.held <= BROADCAST_ROWS)
 
-    def apply(self, new: DataFrame) -> None:
+    def apply(self, new: DataFrame, n_new: int) -> None:
+        """`held` is a bound of the changed rows; while they are few, merging them does not shuffle the table and keeps its order."""
         old, base = self.delta, None
+        self.held += n_new
         self.delta = new if old is None else stored(old.join(new, "n", "left_anti").unionByName(new), "pi-delta")
         self.changes += 1
         if self.changes % self.compact_every == 0:
-            base, self.base = self.base, stored(overlay(self.base, self.delta), "pi")
+            few = self.held <= BROADCAST_ROWS
+            merged = overlay(self.base, self.delta, few)
+            base, self.base = self.base, stored(merged if few else merged.repartitionByRange("n").sortWithinPartitions("n"), "pi")
             forget(self.delta)
-            self.delta = None
+            self.delta, self.held = None, 0
         for gone in (old, base):
             forget(gone)
 
@@ -66,7 +85,7 @@ class Learner:
     def __init__(self, split: Split, config: Config, ids: DataFrame | None = None, sampler=None):
         if config.neighbors >= split.n_vertices:
             raise ValueError(f"{config.neighbors} neighbours of {split.n_vertices} vertices")
-        self.split, self.config, self.ids = split, config, ids
+        self.split, self.config, self.ids = split.by_vertex(), config, ids
         self.spark: SparkSession = split.train.sparkSession
         self.sampler = sampler or SAMPLERS[config.strategy]
         self.pi = PiStore(stored(pi_table(self.spark, split.n_vertices, config), "pi"), config.compact_every)
@@ -95,14 +114,37 @@ class Learner:
 
     # sampling
 
-    def _sample(self, t: int) -> tuple[Batch, DataFrame, int, DataFrame]:
-        batch = self.sampler(self.split, self.config, t)
+    def _sample(self, t: int) -> Sample:
+        batch, c = self.sampler(self.split, self.config, t), self.config
         batch = Batch(stored(batch.edges, "batch"), batch.weight)
+        most = DRIVER_PAIRS // (c.neighbors + 1)
+        some = batch.edges.limit(most + 1).collect()
+        if len(some) <= most:  # a small mini-batch: its pairs are drawn here, and it takes one pass over the training edges to flag them
+            edges = sorted((r["u"], r["v"]) for r in some)
+            nodes = sorted({x for e in edges for x in e})
+            if len(nodes) * (c.neighbors + 1) <= DRIVER_PAIRS:
+                pairs = neighbors_of_few(nodes, self.split.n_vertices, c.neighbors, c.seed, t)
+                linked = self._linked({(min(p), max(p)) for p in [*pairs, *edges]})
+                make = lambda rows, names: self.spark.createDataFrame([(*p, int((min(p), max(p)) in linked)) for p in rows], f"{names[0]} long, {names[1]} long, y int")
+                forget(batch.edges)
+                return Sample(Batch(make(edges, "uv"), batch.weight), make(pairs, "nm"), len(nodes), True, sorted({*nodes, *(m for _, m in pairs)}))
         nodes = stored(ends_of(batch.edges), "batch-nodes")
         n = nodes.count()
-        return batch, nodes, n, neighbor_sample(nodes, self.split.n_vertices, self.config.neighbors, self.config.seed, t)
-
-    def _taken(self, t: int) -> tuple[Batch, DataFrame, int, DataFrame]:
+        few = n * (c.neighbors + 1) <= BROADCAST_ROWS
+        neighbors = neighbor_sample(nodes, self.split.n_vertices, c.neighbors, c.seed, t)
+        flagged = stored(self._flagged(batch.edges, "u", "v", few), "batch-flagged")
+        forget(batch.edges), forget(nodes)
+        return Sample(Batch(flagged, batch.weight), stored(self._flagged(neighbors, "n", "m", few), "neighbors-flagged"), n, few)
+
+    def _linked(self, pairs: set[tuple[int, int]]) -> set[tuple[int, int]]:
+        """Those of a few oriented pairs that are training edges."""
+        if not pairs:
+            return set()
+        asked, firsts = F.broadcast(self.spark.createDataFrame(sorted(pairs), "n long, m long")), sorted({u for u, _ in pairs})
+        known = self.split.incident(firsts) if len(firsts) <= LISTED else self.split.ends
+        return {(r["n"], r["m"]) for r in known.join(asked, ["n", "m"]).collect()}
+
+    def _taken(self, t: int) -> Sample:
         """The sample of step t; that of step t + 1 begins meanwhile, as samplers do not read the model."""
         if self._pool is None:
             return self._sample(t)
@@ -124,27 +166,28 @@ class Learner:
     def step(self) -> None:
         t = self.steps + 1
         with self._timed("sample"):
-            batch, nodes, n_nodes, neighbors = self._taken(t)
-        if n_nodes:
-            few = n_nodes * (self.config.neighbors + 1) <= BROADCAST_ROWS
-            beta = beta_of(self.theta)
+            got = self._taken(t)
+        if got.n_nodes:
             with self._timed("phi"):
-                flagged = self._flagged(neighbors, "n", "m", few)
-                needed = nodes.union(neighbors.select("m")).distinct()
-                rows = stored(self.pi.rows(needed, few), "gathered")
-                other = rows.select(F.col("n").alias("m"), F.col("pi").alias("pb"))
-                nb = flagged.join(other, "m").groupBy("n").agg(F.collect_list(F.struct("m", "y", "pb")).alias("nb"))
-                new = stored(arrow_step(rows.join(nb, "n"), beta, self.split.n_vertices, self.config, t), "pi-new")
-            with self._timed("pi"):
-                self.pi.apply(new)
+                # one pass over the memberships gathers the rows of both sides
+                pairs = got.pairs.select("n", "m", "y")
+                roles = pairs.unionByName(pairs.select("n", F.col("n").alias("m"), F.lit(None).cast("int").alias("y")).distinct())
+                rows = self.pi.rows(roles.withColumnRenamed("n", "of").withColumnRenamed("m", "n"), got.few, got.listed)
+                both = rows.groupBy(F.col("of").alias("n")).agg(
+                    F.first(F.when(F.col("y").isNull(), F.struct("pi", "phi_sum")), True).alias("own"),
+                    F.collect_list(F.when(F.col("y").isNotNull(), F.struct(F.col("n").alias("m"), "y", F.col("pi").alias("pb")))).alias("nb"),
+                )
+                gathered = both.select("n", "own.pi", "own.phi_sum", "nb")
+                new = stored(arrow_step(gathered, beta_of(self.theta), self.split.n_vertices, self.config, t), "pi-new")
             with self._timed("theta"):
                 # strengths are updated from the new memberships; all ends of the batch's edges have just been updated
                 u, v = (new.select(F.col("n").alias(c), F.col("pi").alias(f"p{c}")) for c in ("u", "v"))
-                edges = stored(self._flagged(batch.edges, "u", "v", few).join(u, "u").join(v, "v").select("y", "pu", "pv"), "batch-rows")
+                edges = got.batch.edges.join(u, "u").join(v, "v").select("y", "pu", "pv")
                 grads = theta_gradient_arrays(edges, self.theta, self.config.epsilon)
-                self.theta = theta_update_rows(self.theta, grads, batch.weight, self.config, t)
-            for gone in (rows, edges, batch.edges, nodes):
-                forget(gone)
+                self.theta = theta_update_rows(self.theta, grads, got.batch.weight, self.config, t)
+            with self._timed("pi"):
+                self.pi.apply(new, got.n_nodes)
+            forget(got.pairs), forget(got.batch.edges)
         self.steps = t
 
     def run(self, steps: int, stop=None) -> int:
@@ -168,7 +211,10 @@ class Learner:
     # evaluation
 
     def _evaluate(self, edges: DataFrame, state: DataFrame | None, count: int) -> tuple[DataFrame, dict]:
-        likely = likelihood_arrays(edges, self.pi.table(), beta_of(self.theta), self.config.epsilon)
+        # only the rows of the edges' ends meet the edges
+        ends = ends_of(edges)
+        rows = self.pi.rows(ends, 2 * edges.count() <= BROADCAST_ROWS).select("n", "pi")
+        likely = likelihood_arrays(edges, rows, beta_of(self.theta), self.config.epsilon)
         new = stored(running_mean(state, likely, count), "ppx")
         forget(state)
         row = perplexity_parts(new).first().asDict()
@@ -229,13 +275,13 @@ class Learner:
         config = Config.from_dict(meta["config"])
         new = cls.__new__(cls)
         new.spark, new.config, new.ids = spark, config, tables.get("ids")
-        new.split = Split(meta["n_vertices"], meta["n_edges"], tables["train"], tables["heldout"])
+        new.split = Split(meta["n_vertices"], meta["n_edges"], tables["train"], tables["heldout"]).by_vertex()
         shape = tables["pi"].agg(F.count(F.lit(1)), F.min(F.size("pi")), F.max(F.size("pi"))).first()
         if tuple(shape) != (meta["n_vertices"], config.k, config.k) or len(meta["theta"]) != config.k:
             raise ValueError(f"{path}: memberships are {tuple(shape)}, not {meta['n_vertices']} rows of {config.k}")
         new.sampler = sampler or SAMPLERS[config.strategy]
         # copies in the shared folder: a later save to the same path does not overwrite what is being read
-        new.pi = PiStore(stored(tables["pi"], "pi"), config.compact_every)
+        new.pi = PiStore(stored(tables["pi"].repartitionByRange("n").sortWithinPartitions("n"), "pi"), config.compact_every)
         new.theta = [tuple(x) for x in meta["theta"]]
         new.steps, new.evaluations, new.train_evaluations, new.history = meta["steps"], meta["evaluations"], meta["train_evaluations"], meta["history"]
         new.ppx_state, new.train_ppx_set, new.train_ppx_state = (stored(tables[n], n) if n in tables else None for n in ("ppx_state", "train_ppx_set", "train_ppx_state"))

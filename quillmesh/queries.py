@@ -19,6 +19,7 @@ from .operators import membership as M
 from .operators import phi as P
 from .operators import primitives as R
 from .operators import samplers as S
+from .operators.numbering import number_rows
 from .operators.split import Split, split_edges, training_ppx_edges
 from .plans.learner import Learner
 from .session import ship
@@ -119,7 +120,7 @@ def adjacency(spark, d):
 @query
 def neighbors_of(spark, d):
     edges, _ = _dense(spark, d)
-    return G.neighbors_of(edges, spark.range(0, 50, 7).withColumnRenamed("id", "n"))
+    return G.neighbors_of(edges, G.ends_of(edges))
 
 
 @query
@@ -161,7 +162,7 @@ def training_ppx_set(spark, d):
 
 def _probes(split: Split) -> DataFrame:
     """Pairs of which some are training edges: held-out pairs, and training edges in the wrong orientation."""
-    return split.heldout.select("u", "v").union(split.train.where("u % 10 = 3").select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return split.heldout.select("u", "v").union(split.train.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
 @query
@@ -235,8 +236,8 @@ def gamma_init(spark, d):
 
 @query
 def gamma_init_general(spark, d):
-    """Shape 2.5 and scale 0.5 have no closed form: rows only."""
-    return I.gamma_cells(spark, 200, 5, 2.5, 0.5, "general", CONFIG.seed)
+    """Shape 2.5 and scale 0.5 have no closed form."""
+    return longs(I.gamma_cells(spark, 200, 5, 2.5, 0.5, "general", CONFIG.seed).withColumn("x", r("x")), "k")
 
 
 @query
@@ -280,6 +281,43 @@ def sort_values(spark, d):
     return R.sort_values(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").cast("long").alias("x")))
 
 
+@query
+def sort_positions(spark, d):
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").cast("long").alias("x"), F.col("o_orderkey").cast("long").alias("key"))
+    return number_rows(orders, ["x", "key"]).select(F.col("pos").cast("long").alias("pos"), "x")
+
+
+@query
+def sort_segments(spark, d):
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").cast("long").alias("n"), F.col("o_orderkey").cast("long").alias("x"))
+    return R.sort_segments(orders).select("n", F.array_join(F.col("sorted").cast("array<string>"), ",").alias("sorted"))
+
+
+@query
+def unpack_edges(spark, d):
+    """Edges packed into one number each, and taken apart again."""
+    from .functions import vectors as V
+
+    return _dense(spark, d)[0].select(V.pack_edge(F.col("u"), F.col("v")).alias("e")).select(*(x.alias(n) for x, n in zip(V.unpack_edge(F.col("e")), "uv", strict=True)))
+
+
+@query
+def strategy_parse(spark, d):
+    def named(text: str) -> str | None:
+        try:
+            return Strategy.parse(text).value
+        except ValueError:
+            return None
+
+    return spark.createDataFrame([(x, named(x)) for x in ("node", "NODELINK", " NodeNonLink ", "bf", "bflink", "BFNONLINK", "other")], "text string, strategy string")
+
+
+@query
+def config_settings(spark, d):
+    rows = [line.split(": ", 1) for line in CONFIG.describe().splitlines()]
+    return spark.createDataFrame([(k, "" if v == "None" else v) for k, v in rows], "name string, value string")
+
+
 @query
 def reduce_sums(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_quantity").cast("double").alias("q"), F.col("l_suppkey").cast("double").alias("s"))
@@ -304,7 +342,7 @@ def vector_functions(spark, d):
     base = spark.range(1, 200).select("id", F.array(*[(F.col("id") * (j + 1) / 7.0 - 11).cast("double") for j in range(4)]).alias("a"), F.array(*[(F.col("id") + j).cast("double") for j in range(4)]).alias("b"))
     return base.select(
         "id", r(V.vsum(V.vfabs("a"))).alias("abs_sum"), r(V.vsum(V.vmax(F.col("a"), F.col("b")))).alias("max_sum"), r(V.vsum(V.vmul(F.col("a"), F.col("b")))).alias("dot"),
-        r(V.vsum(V.vadd(V.vsqrt("b"), V.splat(F.lit(1.0), 4)))).alias("sqrt_sum"), r(V.vsum(V.vlog("b"))).alias("log_sum"), r(V.vsum(V.vdiv(V.vsub(F.col("a"), F.col("b")), F.col("b")))).alias("rel"),
+        r(V.vsum(V.vadd(V.vsqrt("b"), V.splat(F.lit(1.0), 4)))).alias("sqrt_sum"), r(V.vsum(V.vlog("b"))).alias("log_sum"), r(V.vsum(V.vexp(V.vmap(lambda x: x / 100, F.col("a"))))).alias("exp_sum"), r(V.vsum(V.vdiv(V.vsub(F.col("a"), F.col("b")), F.col("b")))).alias("rel"),
         V.pack_edge(V.low(F.col("id"), F.lit(77)), V.high(F.col("id"), F.lit(77))).cast("long").alias("packed"),
     )
 
@@ -392,14 +430,23 @@ def running_perplexity(spark, d):
     return _ppx(E.perplexity(E.perplexity_parts(E.running_mean(first, E.edge_likelihood(s.heldout, after, beta, CONFIG.epsilon), 2))))
 
 
-def _learner(spark: SparkSession, d: str) -> Learner:
-    return Learner.from_edges(X.customer_supplier(spark, d), CONFIG.with_(strategy=Strategy.NODE_LINK))
+def _learner(spark: SparkSession, d: str, **changes) -> Learner:
+    return Learner.from_edges(X.customer_supplier(spark, d), CONFIG.with_(strategy=Strategy.NODE_LINK, **changes))
 
 
 @query
 def train_3_steps(spark, d):
     """The Arrow training loop: perplexities before and after three steps, and strengths."""
-    learner = _learner(spark, d)
+    return _trained(_learner(spark, d))
+
+
+@query
+def train_prefetched(spark, d):
+    """The same with the next sample drawn meanwhile."""
+    return _trained(_learner(spark, d, prefetch=True))
+
+
+def _trained(learner: Learner) -> DataFrame:
     learner.heldout_perplexity()
     learner.run(3)
     learner.heldout_perplexity()
@@ -442,11 +489,50 @@ def edge_list_file(spark, d):
 
 
 @query
-def fit_metrics(spark, d):
+def checkpoint_refused(spark, d):
+    """A checkpoint whose memberships do not have the shape that its metadata names is not loaded."""
+    path = f"{shared_dir(spark)}/quillmesh/checkpoint-{uuid.uuid4().hex}"
     learner = _learner(spark, d)
-    learner.config = learner.config.with_(ppx_interval=1)
+    learner.save(path)
+    learner.pi.table().where("n > 0").write.mode("overwrite").parquet(f"{path}/pi")
+    try:
+        Learner.load(spark, path)
+    except ValueError:
+        return spark.createDataFrame([(1,)], "refused long")
+    return spark.createDataFrame([(0,)], "refused long")
+
+
+def _metrics(df: DataFrame) -> DataFrame:
+    return longs(df.select("step", "n_link", "n_nonlink", r("ll_link").alias("ll_link"), r("ll_nonlink").alias("ll_nonlink"), r("ppx").alias("ppx")), "step", "n_link", "n_nonlink")
+
+
+@query
+def fit_metrics(spark, d):
+    learner = _learner(spark, d, ppx_interval=1)
+    learner.fit(1)
+    return _metrics(learner.metrics())
+
+
+@query
+def learner_stats(spark, d):
+    """The phases of a step and an evaluation whose time is taken."""
+    learner = _learner(spark, d, ppx_interval=1)
     learner.fit(1)
-    return learner.metrics()
+    return spark.createDataFrame([(k,) for k, seconds in learner.stats().items() if seconds > 0], "phase string")
+
+
+@query
+def command_line(spark, d):
+    """The command line on the graph as a text file, with its metrics file read back."""
+    from .__main__ import main
+
+    base = f"{shared_dir(spark)}/quillmesh/command-{uuid.uuid4().hex}"
+    X.customer_supplier(spark, d).select(F.concat_ws(" ", "u", "v").alias("value")).write.text(f"{base}/edges")
+    args = {"file": f"{base}/edges", "header": 0, "metrics": f"{base}/metrics", "sample": "nodelink", "max-iters": 1, "ppx-interval": 1}
+    same = ("k", "mini_batch", "neighbors", "heldout_ratio", "train_ppx_ratio", "seed")
+    args |= {name.replace("_", "-"): getattr(CONFIG, name) for name in same}
+    main([x for k, v in args.items() for x in (f"--{k}", str(v))] + ["--no-prefetch"])
+    return _metrics(spark.read.json(f"{base}/metrics"))
 
 
 def queries() -> dict[str, Query]:

@@ -10,6 +10,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent
+#: Session settings that hold unless the application has its own: the bytes that a Python task is handed at a time, and the
+#: length of vertex lists that are looked up by the statistics of Parquet row groups and pages.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.parquet.pushdown.inFilterThreshold": "4096"}
 _shipped: set[str] = set()
 
 
@@ -22,6 +25,9 @@ def ship(spark: SparkSession) -> SparkSession:
             for file in sorted(ROOT.rglob("*.py")):
                 out.write(file, f"{ROOT.name}/{file.relative_to(ROOT)}")
         context.addPyFile(path)
+        for name, value in SETTINGS.items():
+            if not context.getConf().contains(name):
+                spark.conf.set(name, value)
         _shipped.add(context.applicationId)
     return spark
 

@@ -13,19 +13,29 @@ from .session import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where none is named."""
+    """The folder the cluster names in spark.checkpoint.dir; a local one only where none is named, and then only on a single machine."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="quillmesh-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: later steps survive a lost executor without recomputing it."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back: later steps survive a lost executor without recomputing it.
+
+    by: a column of few values; where one of them is asked for, only its files are read.
+    """
     spark = ship(df.sparkSession)
     path = f"{shared_dir(spark)}/quillmesh/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if by:
+        with settings(spark, spark__sql__maxConcurrentOutputFileWriters="16"):  # instead of a sort by the column
+            writer.partitionBy(by).parquet(path)
+    else:
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,11 +59,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    return hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop.Path(path))
-
-
 def forget(df: DataFrame | None) -> None:
     """Remove the files of a stored table that is no longer needed."""
     if df is None:
@@ -62,6 +67,7 @@ def forget(df: DataFrame | None) -> None:
     hadoop = context._jvm.org.apache.hadoop.fs
     for file in df.inputFiles():
         if "/quillmesh/" in file:
-            folder = hadoop.Path(file.rsplit("/", 1)[0])
+            base, _, rest = file.rpartition("/quillmesh/")
+            folder = hadoop.Path(f"{base}/quillmesh/{rest.split('/', 1)[0]}")
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
             return

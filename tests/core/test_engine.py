@@ -161,13 +161,21 @@ def test_random_numbers(spark):
     assert [r.z for r in first] == pytest.approx([rng.normal_value("t", 1, i) for i in range(5)], abs=1e-12)
 
 
+@pytest.mark.parametrize("shape", [0.3, 1.0, 2.5, 40.0])
+def test_gamma_columns_equal_the_drivers_draws(spark, shape):
+    df = spark.range(3000).select("id", rng.gamma(shape, 0.5, "t", 1, F.col("id")).alias("x")).toPandas()
+    assert df.x[:200].tolist() == pytest.approx([rng.gamma_value(shape, 0.5, "t", 1, i) for i in range(200)], rel=1e-9)
+    assert df.x.min() > 0 and df.x.mean() == pytest.approx(0.5 * shape, rel=0.1) and df.x.var() == pytest.approx(0.25 * shape, rel=0.2)
+
+
 def test_gamma_of_any_shape(spark):
     x = I.gamma_cells(spark, 500, 4, 2.5, 0.5, "g", 1).toPandas().x
     assert x.min() > 0 and abs(x.mean() - 1.25) < 0.08
     assert I.gamma_cells(spark, 500, 4, 2.5, 0.5, "g", 1).toPandas().x.tolist() == x.tolist()
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 7, 11, 31, 32, 33, 47, 48, 49, 63, 64, 65, 127, 128, 1023, 1024, 11331])
+# one row, around the session's 4 partitions, and around the 10,000 rows of an Arrow batch
+@pytest.mark.parametrize("n", [1, 3, 4, 5, 9_999, 10_000, 10_001])
 def test_segment_sum_and_normalize(spark, n):
     df = spark.range(1, n + 1).select(F.lit(5).alias("n"), F.col("id").cast("double").alias("x"))
     total = n * (n + 1) / 2
@@ -300,3 +308,48 @@ def test_samplers_find_rare_vertices(spark):
     seen = set(range(5000)) - {4321}
     assert samplers._unvisited(few, seen, "bf-non-link", config, 1, False) == 4321
     assert samplers._unvisited(few, seen | {4321}, "bf-non-link", config, 1, False) is None
+
+
+def test_neighbors_on_the_driver_are_those_of_the_executors(spark):
+    nodes = [0, 3, 17, 40]
+    far = rows(S.neighbor_sample(spark.createDataFrame([(n,) for n in nodes], "n long"), 41, 30, 7, 5))
+    assert sorted(S.neighbors_of_few(nodes, 41, 30, 7, 5)) == far
+
+
+def test_edges_by_vertex(spark, planted):
+    split = split_edges(planted, 100, 0.1, 3)
+    lined = split.by_vertex()
+    for some in ([5], [0, 17, 99], list(range(40))):
+        assert rows(split.incident(some)) == rows(lined.incident(some))
+    plan = lined.incident(list(range(40)))._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(n" in plan.replace("\n", " ") or "In(n, [" in plan
+
+
+@pytest.mark.parametrize(("pairs", "broadcast"), [(0, 500_000), (0, 0)])
+def test_steps_of_large_batches_are_those_of_small_ones(spark, planted, monkeypatch, pairs, broadcast):
+    """Pairs held by the driver, broadcast joins and shuffled joins give the same model."""
+    from quillmesh.plans import learner as module
+
+    config = Config(k=3, mini_batch=8, neighbors=6, heldout_ratio=0.1, strategy=Strategy.NODE_LINK, compact_every=2, prefetch=False)
+    small = Learner.from_edges(planted, config)
+    small.run(3)
+    monkeypatch.setattr(module, "DRIVER_PAIRS", pairs)
+    monkeypatch.setattr(module, "BROADCAST_ROWS", broadcast)
+    large = Learner.from_edges(planted, config)
+    large.run(3)
+    assert [x for t in large.theta for x in t] == pytest.approx([x for t in small.theta for x in t], rel=1e-9)
+    a, b = (dict((r["n"], r["pi"]) for r in x.memberships().collect()) for x in (small, large))
+    assert a.keys() == b.keys() and all(a[n] == pytest.approx(b[n], rel=1e-9) for n in a)
+    assert large.heldout_perplexity() == pytest.approx(small.heldout_perplexity(), rel=1e-9)
+
+
+def test_taken_partners_of_a_hub(spark):
+    """A vertex with few free partners: the draws give way to a ranking."""
+    n = 300
+    train = spark.createDataFrame([(u, v) for u in range(40) for v in range(u + 1, n - 3)], "u long, v long")
+    split = split_edges(train, n, 0.0, 1)
+    config = Config(k=2, mini_batch=50)
+    t = next(t for t in range(1, 200) if next(S._draws("node", config, t, n)) < 40)
+    u = next(S._draws("node", config, t, n))
+    got = rows(S.node_non_link(split, config, t).edges)
+    assert got == sorted((u, v) for v in (297, 298, 299))
