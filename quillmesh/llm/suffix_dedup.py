@@ -20,8 +20,9 @@ later ones.
 With `with_passages` the same steps 1 and 2 are taken over words, for passages of PASSAGE words, and digests of windows settle
 the borders: these are shorter than `window` bytes as a rule and are counted, not removed.
 
-Defined results: null and empty texts, and texts shorter than `window` bytes, lose nothing. Repeated rows are copies of
-each other. Null or repeated ids are carried along; extra columns are ignored unless asked for with `carry`.
+Defined results: null and empty texts, and texts shorter than `window` bytes, lose nothing. Very long texts are read whole; one of 256 MB or more is refused with an error, as places are 28 bits. Ties do not occur: a
+smallest gram that occurs twice in a window is taken at its first place. Repeated rows are copies of each other. An empty
+table gives no rows. Null or repeated ids are carried along; extra columns are ignored unless asked for with `carry`.
 """
 
 from __future__ import annotations
@@ -385,7 +386,7 @@ def suffix_dedup(docs: DataFrame, window: int = 400, keep: str = "none", carry:
         word_parts, word_live, more = _passages(base)
         asked = asked.unionByName(more)
     want = asked.groupBy("rid").agg(F.collect_list(F.struct("a", "c", "q", "what", "all")).alias("want"))
-    content = stored(base.select("rid", "packed").join(want, "rid").select("rid", "packed", "want").mapInArrow(_contents(window), "what int, a long, c long, rid long, q long, all boolean, first int, content binary, w1 long, w2 long"), "contents")
+    content = stored(base.select("rid", "packed").join(want, "rid").select("rid", "packed", "want").mapInArrow(_contents(window), "what int, a long, c long, rid long, q long, all boolean, first int, content binary, w1 long, w2 long"), "contents", by="what")
     release(spark)
     content = content.withColumn("place", F.struct("rid", "q"))
     texts, single = content.where(F.col("what") == TEXT), content.where(F.col("what") == BYTES)
