@@ -6,8 +6,9 @@ each other; running sums within the ranges and the ranges' totals (one number fo
 place in one long stream. The stream is cut every `size` tokens: each sequence is full but the last, and a document that
 crosses a cut goes on in the next sequence. The token ids meet their places in a join and are cut there.
 
-Defined results: null and empty texts are one end token. Repeated rows are packed once each. An empty table gives no rows.
-Extra columns are ignored unless asked for with `carry`.
+Defined results: null and empty texts are one end token. Very long texts are tokenised whole and go on through as many
+sequences as they need. Equal keys are ordered by row number. Repeated rows are packed once each. An empty table gives no
+rows. Extra columns are ignored, whatever their names, unless asked for with `carry`.
 """
 
 from __future__ import annotations
@@ -55,8 +56,8 @@ class WordTokens:
     the ids of both parts, so that only new letter runs and unusual words go through the tokenizer.
     """
 
-    def __init__(self, path: str):
-        self.tokenizer, self.known, self.parts = tokenizer(path), {"": b""}, {"": b""}
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.tokenizer, self.known, self.parts, self.remembered = tokenizer(path), {"": b""}, {"": b""}, remembered
         self.model, self.letters = self.tokenizer.model, byte_letters()
 
     def _encode_group(self, group: str) -> bytes:
@@ -87,9 +88,9 @@ class WordTokens:
             self.known[w] = np.array(e.ids, np.uint16).tobytes()
 
     def __call__(self, texts: list[str], end: int) -> Iterator[bytes]:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known = {"": b""}
-        if len(self.parts) > REMEMBERED:
+        if len(self.parts) > self.remembered:
             self.parts = {"": b""}
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         found = [list(map(self.known.get, words)) for words in split]
@@ -102,8 +103,8 @@ class WordTokens:
 
 
 @cache
-def word_tokens(path: str) -> WordTokens:
-    return WordTokens(path)
+def word_tokens(path: str, remembered: int) -> WordTokens:
+    return WordTokens(path, remembered)
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -151,9 +152,9 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     return hilbert(np.clip(((y + 3) * (side / 6)).astype(np.int64), 0, side - 1))
 
 
-def _tokens(path: str, end: int, carry: list[str]):
+def _tokens(path: str, end: int, carry: list[str], remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, row = word_tokens(path), TaskContext.get().partitionId() << 33
+        encode, row = word_tokens(path, remembered), TaskContext.get().partitionId() << 33
         gc.disable()  # the word tables are large and have no cycles; walking them again and again is wasted time
         try:
             for batch in batches:
@@ -198,13 +199,16 @@ def _pieces(size: int, carry: list[str], with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, size: int = 4096, end: int = 2, carry: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
-    """docs(text, *carry) -> a row per piece: *carry, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]."""
+def pack(docs: DataFrame, vocabulary: str, size: int = 4096, end: int = 2, carry: tuple[str, ...] = ("doc_id",), with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+    """docs(text, *carry) -> a row per piece: *carry, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids].
+
+    A worker process remembers the ids of `remembered` words, and of as many parts of words.
+    """
     names = [f"k{i}" for i in range(len(carry))]
     kinds = dict(docs.dtypes)
     typed = ", ".join(f"{n} {kinds[c]}" for n, c in zip(names, carry, strict=True))
     source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)], text_of().alias("text"))
-    tokens = stored(source.mapInArrow(_tokens(vocabulary, end, names), f"rid long, {typed}, key long, n long, ids binary"), "tokens")
+    tokens = stored(source.mapInArrow(_tokens(vocabulary, end, names, remembered), f"rid long, {typed}, key long, n long, ids binary"), "tokens")
     parts = max(1, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     along = tokens.select("key", "rid", "n").repartitionByRange(parts, "key", "rid").sortWithinPartitions("key", "rid")
     placed = stored(along.mapInArrow(_places, "rid long, part long, local long, reach long"), "places")
