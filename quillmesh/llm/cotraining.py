@@ -13,8 +13,9 @@ Views of all documents are stored once; of the unlabelled ones, the leaves they
 order of rows does not matter. The only bound on what is learned from is `most` labelled ids (and 2 * `most` rows of them,
 first by a hash of the id). Rows whose crc32(id) mod 5 is 0 are never learned from.
 
-Defined results: null and empty texts and null metadata are ordinary values. A null id counts as held out. Without labels all
-scores are 0.5. Repeated rows each get their row; extra columns are ignored.
+Defined results: null and empty texts and null metadata are ordinary values; very long texts are read whole. A null id counts
+as held out. Of several labels for one id the largest counts; equal margins are handed over together and get equal scores.
+Without labels all scores are 0.5. An empty table gives no rows. Repeated rows each get their row; extra columns are ignored.
 """
 
 from __future__ import annotations

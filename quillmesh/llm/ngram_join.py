@@ -24,7 +24,9 @@ between components is lost.
 Nodes are told apart by a 64-bit hash of their set and its size.
 
 Defined results: a null or empty text has an empty set, links with nothing and is its own component. Null ids are no
-component's smallest id unless all its ids are null. Repeated rows are copies of each other. Extra columns are ignored.
+component's smallest id unless all its ids are null. Very long texts are one set like any other. A similarity that equals the
+limit links; tokens that are equally rare are ordered by their hash. Repeated rows are copies of each other. An empty table
+gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,8 +6,10 @@ histograms with its language's by the Jensen-Shannon distance (base 2, so 0 to 1
 than `char_limit` or `word_limit`. Short texts have noisy histograms: below `min_chars` characters or `min_words` words the
 respective distance is not judged. Languages without a word list share one reference, and only their characters are judged.
 
-Defined results: null and empty texts have no words and fail the base rule. Null or unknown languages use the shared
-reference. Repeated rows each get their row. Extra columns are ignored unless asked for with `carry`.
+Defined results: null and empty texts have no words and fail the base rule. Very long texts are read whole. Null or unknown
+languages use the shared reference. A distance that equals its limit is not over it. Repeated rows each get their row, and
+count each time in the references. An empty table gives no rows. Extra columns are ignored, whatever their names, unless
+asked for with `carry`.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ def suffix_dedup(texts, window=400, keep="none"):
     seen = defaultdict(list)
     for d, b in enumerate(data):
         for i in range(len(b) - window + 1):
-            seen[b[i : i + window]].append((d, i))
+            seen[hashlib.blake2b(b[i : i + window], digest_size=16).digest()].append((d, i))
     gone = [bytearray(len(b)) for b in data]
     for places in seen.values():
         if len(places) > 1:
