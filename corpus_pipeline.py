@@ -28,6 +28,8 @@ ORACLE_SQL = None
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: Repeated passages of this many bytes are cut; fifty words are rarely shorter.
 REPEAT_BYTES = 250
+#: Words that a worker process of the packing stage remembers: fewer than in packing alone, as the other stages' data share its memory.
+REMEMBERED = 200_000
 
 
 def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
@@ -73,7 +75,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
 STAGES = [
