@@ -47,34 +47,53 @@ def longs(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in cols})
 
 
+def once(f: Callable) -> Callable:
+    """What several queries start from is made once for an application and a folder of tables, and kept in the shared folder."""
+    made: dict[tuple, object] = {}
+
+    def run(spark: SparkSession, d: str):
+        key = (spark.sparkContext.applicationId, d)
+        if key not in made:
+            made[key] = f(spark, d)
+        return made[key]
+
+    return run
+
+
+@once
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     return stored(X.customer_supplier(spark, d), "edges")
 
 
+@once
 def _dense(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     edges = _edges(spark, d)
     ids = stored(G.vertex_ids(edges), "ids")
     return stored(G.dense(edges, ids), "dense"), ids.count()
 
 
+@once
 def _split(spark: SparkSession, d: str) -> Split:
     edges, n = _dense(spark, d)
     return split_edges(edges, n, CONFIG.heldout_ratio, CONFIG.seed)
 
 
-def _state(spark: SparkSession, split: Split) -> tuple[DataFrame, DataFrame, DataFrame]:
+@once
+def _state(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """pi in long form, theta, beta."""
-    pi = stored(I.long_form(I.pi_table(spark, split.n_vertices, CONFIG)), "pi-long")
+    pi = stored(I.long_form(I.pi_table(spark, _split(spark, d).n_vertices, CONFIG)), "pi-long")
     theta = I.theta_table(spark, I.theta_rows(CONFIG))
     return pi, theta, I.beta_normalize(theta)
 
 
-def _batch(split: Split, t: int = STEP) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+@once
+def _batch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, float]:
     """Edges, nodes, neighbours and weight of a NodeLink step."""
-    batch = S.node_link(split, CONFIG, t)
+    split = _split(spark, d)
+    batch = S.node_link(split, CONFIG, STEP)
     edges = stored(batch.edges, "batch")
     nodes = stored(G.ends_of(edges), "nodes")
-    return edges, nodes, S.neighbor_sample(nodes, split.n_vertices, CONFIG.neighbors, CONFIG.seed, t), batch.weight
+    return edges, nodes, S.neighbor_sample(nodes, split.n_vertices, CONFIG.neighbors, CONFIG.seed, STEP), batch.weight
 
 
 @query
@@ -197,19 +216,18 @@ for _name, _strategy in (("sample_node_link", Strategy.NODE_LINK), ("sample_node
 
 @query
 def minibatch_nodes(spark, d):
-    return _batch(_split(spark, d))[1]
+    return _batch(spark, d)[1]
 
 
 @query
 def neighbor_sample(spark, d):
-    return _batch(_split(spark, d))[2]
+    return _batch(spark, d)[2]
 
 
 @query
 def row_gather(spark, d):
-    s = _split(spark, d)
-    pi, _, _ = _state(spark, s)
-    return longs(R.matrix_row(pi, _batch(s)[1]).select("n", "k", r("p").alias("p"), r("phi_sum").alias("phi_sum")), "k")
+    pi, _, _ = _state(spark, d)
+    return longs(R.matrix_row(pi, _batch(spark, d)[1]).select("n", "k", r("p").alias("p"), r("phi_sum").alias("phi_sum")), "k")
 
 
 @query
@@ -347,49 +365,50 @@ def vector_functions(spark, d):
     )
 
 
-def _gradient(spark: SparkSession, s: Split):
-    pi, theta, beta = _state(spark, s)
-    edges, nodes, neighbors, weight = _batch(s)
-    return pi, theta, beta, edges, weight, stored(P.phi_gradient(neighbors, pi, beta, s.train, CONFIG.epsilon), "phi-gradient")
+@once
+def _gradient(spark: SparkSession, d: str):
+    pi, theta, beta = _state(spark, d)
+    edges, nodes, neighbors, weight = _batch(spark, d)
+    return pi, theta, beta, edges, weight, stored(P.phi_gradient(neighbors, pi, beta, _split(spark, d).train, CONFIG.epsilon), "phi-gradient")
 
 
 @query
 def phi_gradient(spark, d):
-    g = _gradient(spark, _split(spark, d))[-1]
+    g = _gradient(spark, d)[-1]
     return longs(g.select("n", "k", r("g").alias("g")), "k")
 
 
 @query
 def phi_update(spark, d):
-    s = _split(spark, d)
-    pi, *_, g = _gradient(spark, s)
-    return longs(P.phi_update(g, pi, s.n_vertices, CONFIG, STEP).select("n", "k", r("phi").alias("phi")), "k")
+    pi, *_, g = _gradient(spark, d)
+    return longs(P.phi_update(g, pi, _split(spark, d).n_vertices, CONFIG, STEP).select("n", "k", r("phi").alias("phi")), "k")
 
 
-def _new_pi(spark: SparkSession, s: Split):
-    pi, theta, beta, edges, weight, g = _gradient(spark, s)
-    new = stored(P.pi_update(P.phi_update(g, pi, s.n_vertices, CONFIG, STEP)), "pi-new")
+@once
+def _new_pi(spark: SparkSession, d: str):
+    pi, theta, beta, edges, weight, g = _gradient(spark, d)
+    new = stored(P.pi_update(P.phi_update(g, pi, _split(spark, d).n_vertices, CONFIG, STEP)), "pi-new")
     whole = pi.join(new.select("n", "k", F.col("p").alias("np"), F.col("phi_sum").alias("ns")), ["n", "k"], "left").select("n", "k", F.coalesce("np", "p").alias("p"), F.coalesce("ns", "phi_sum").alias("phi_sum"))
     return stored(whole, "pi-long"), new, theta, beta, edges, weight
 
 
 @query
 def pi_update(spark, d):
-    new = _new_pi(spark, _split(spark, d))[1]
+    new = _new_pi(spark, d)[1]
     return longs(new.select("n", "k", r("p").alias("p"), r("phi_sum").alias("phi_sum")), "k")
 
 
 @query
 def theta_gradient(spark, d):
     s = _split(spark, d)
-    pi, _, theta, _, edges, _ = _new_pi(spark, s)
+    pi, _, theta, _, edges, _ = _new_pi(spark, d)
     return longs(B.theta_gradient(edges, pi, theta, s.train, CONFIG.epsilon).select("k", r("g0").alias("g0"), r("g1").alias("g1")), "k")
 
 
 @query
 def theta_update(spark, d):
     s = _split(spark, d)
-    pi, _, theta, _, edges, weight = _new_pi(spark, s)
+    pi, _, theta, _, edges, weight = _new_pi(spark, d)
     g = B.theta_gradient(edges, pi, theta, s.train, CONFIG.epsilon)
     return longs(B.theta_update(g, theta, weight, CONFIG, STEP).select("k", r("t0").alias("t0"), r("t1").alias("t1")), "k")
 
@@ -397,7 +416,7 @@ def theta_update(spark, d):
 @query
 def edge_likelihood(spark, d):
     s = _split(spark, d)
-    pi, _, beta = _state(spark, s)
+    pi, _, beta = _state(spark, d)
     return longs(E.edge_likelihood(s.heldout, pi, beta, CONFIG.epsilon).select("u", "v", "y", r("l").alias("l")), "y")
 
 
@@ -408,14 +427,14 @@ def _ppx(df: DataFrame) -> DataFrame:
 @query
 def heldout_perplexity(spark, d):
     s = _split(spark, d)
-    pi, _, beta = _state(spark, s)
+    pi, _, beta = _state(spark, d)
     return _ppx(E.perplexity(E.perplexity_parts(E.running_mean(None, E.edge_likelihood(s.heldout, pi, beta, CONFIG.epsilon), 1))))
 
 
 @query
 def training_perplexity(spark, d):
     s = _split(spark, d)
-    pi, _, beta = _state(spark, s)
+    pi, _, beta = _state(spark, d)
     edges = training_ppx_edges(s, CONFIG.train_ppx_ratio, CONFIG.seed)
     return _ppx(E.perplexity(E.perplexity_parts(E.running_mean(None, E.edge_likelihood(edges, pi, beta, CONFIG.epsilon), 1))))
 
@@ -424,9 +443,9 @@ def training_perplexity(spark, d):
 def running_perplexity(spark, d):
     """The mean over two evaluations, before and after a membership update."""
     s = _split(spark, d)
-    pi, _, beta = _state(spark, s)
+    pi, _, beta = _state(spark, d)
     first = stored(E.running_mean(None, E.edge_likelihood(s.heldout, pi, beta, CONFIG.epsilon), 1), "ppx")
-    after = _new_pi(spark, s)[0]
+    after = _new_pi(spark, d)[0]
     return _ppx(E.perplexity(E.perplexity_parts(E.running_mean(first, E.edge_likelihood(s.heldout, after, beta, CONFIG.epsilon), 2))))
 
 

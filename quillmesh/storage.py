@@ -23,12 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, by: str | None = None, narrow: bool = False) -> DataFrame:
     """Write `df` to the shared folder and read it back: later steps survive a lost executor without recomputing it.
 
     by: a column of few values; where one of them is asked for, only its files are read.
+    narrow: of rows so short that a file for every partition would be mostly overhead: a few files for each core are written.
     """
     spark = ship(df.sparkSession)
+    df = df.coalesce(4 * max(1, spark.sparkContext.defaultParallelism)) if narrow else df
     path = f"{shared_dir(spark)}/quillmesh/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if by:
