@@ -217,6 +217,6 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 4096, end: int = 2, carry
     ranges = placed.groupBy("part").agg(F.max("reach").alias("reach"))
     base = ranges.select("part", (F.sum("reach").over(Window.orderBy("part")) - F.col("reach")).alias("base"))
     located = placed.join(F.broadcast(base), "part").select("rid", (F.col("base") + F.col("local")).alias("at"))
-    cut = tokens.select("rid", *names, "ids").join(located, "rid").select(*names, "ids", "at")
+    cut = tokens.select("rid", *names, "ids").join(located.hint("merge"), "rid").select(*names, "ids", "at")
     shape = f"{typed}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return cut.mapInArrow(_pieces(size, names, with_ids), shape).select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else []))

@@ -212,41 +212,53 @@ def _anchored(window: int, carry: list[str], with_passages: bool):
     return run
 
 
-#: What a row of contents is: bytes, or the digest of one window of bytes or of words.
+#: What a row of contents is: bytes; a block of windows of a hot anchor's segment; the windows of a segment of words.
 TEXT, BYTES, PASSAGES = 0, 1, 2
+#: Windows of a block.
+BLOCK = 16
 
 
 def _contents(window: int):
-    """(rid, packed, wanted segments) -> their places and bytes, or for hot anchors and passages the digests of their windows."""
+    """(rid, packed, wanted segments) -> their places and bytes, or for hot anchors and passages the digests of their windows.
+
+    Windows of hot anchors come in blocks that begin at multiples of BLOCK places from the anchor, so that equal bytes make
+    equal blocks. b1, b2: digest of the block's bytes; w1, w2: of its windows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[] for _ in CONTENT_NAMES]
-            size = 0
+            out, size = [[] for _ in CONTENT_NAMES], 0
             for row, packed, wants in zip(*(batch[n].to_pylist() for n in ("rid", "packed", "want")), strict=True):
                 data = zlib.decompress(packed)
                 rolling = words = None
                 for want in wants:
-                    s = want["q"] >> 20
-                    e = s + ((want["q"] >> 10) & 1023)
-                    what = want["what"]
+                    what, q = want["what"], want["q"]
+                    s, width = q >> 20, (q >> 10) & 1023
+                    if what != TEXT and rolling is None:
+                        buffer = np.frombuffer(data, np.uint8)
+                        rolling = Rolling(buffer, 0), Rolling(buffer, 1)
                     if what == TEXT:
-                        parts = [[0], [data[s : e + window]], [None], [None]]
-                        size += e + window - s
-                    else:
-                        at = np.arange(s, e + 1)
-                        if rolling is None:
-                            buffer = np.frombuffer(data, np.uint8)
-                            rolling = Rolling(buffer, 0), Rolling(buffer, 1)
-                        if what == PASSAGES and words is None:
+                        parts = [[0], [data[s : s + width + window]], [None], [None], [None], [None]]
+                        size += width + window
+                    elif what == PASSAGES:
+                        if words is None:
                             words = Rolling(worded(buffer, np.array([0, len(buffer)]), rolling[1])[0])
-                        x = (words.ranges(at, at + PASSAGE) if what == PASSAGES else rolling[0].ranges(at, at + window)).view(np.int64).tolist()
-                        y = [want["a"]] * len(x) if what == PASSAGES else rolling[1].ranges(at, at + window).view(np.int64).tolist()
-                        parts = [range(len(x)), [None] * len(x), x, y]
+                        at = np.arange(s, s + width + 1)
+                        parts = [[0], [None], [None], [None], [words.ranges(at, at + PASSAGE).view(np.int64).tolist()], [None]]
+                        size += 8 * width
+                    else:
+                        at = np.arange(s, s + width + 1)
+                        block = (at - s - (q & 1023)) // BLOCK
+                        cut = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+                        end = np.append(cut[1:], len(at))
+                        b = [r.ranges(at[cut], at[end - 1] + window).view(np.int64).tolist() for r in rolling]
+                        w = [r.ranges(at, at + window).view(np.int64).tolist() for r in rolling]
+                        parts = [cut.tolist(), [None] * len(cut), *b, *([x[i:j] for i, j in zip(cut.tolist(), end.tolist(), strict=True)] for x in w)]
+                        size += 16 * width
                     n = len(parts[0])
-                    for o, v in zip(out, ([what] * n, [want["a"]] * n, [want["c"]] * n, [row] * n, [want["q"]] * n, [want["all"]] * n, *parts), strict=True):
+                    for o, v in zip(out, ([what] * n, [want["a"]] * n, [want["c"]] * n, [row] * n, [q] * n, [want["all"]] * n, *parts), strict=True):
                         o += v
-                if size > 4 << 20 or len(out[0]) > 200_000:
+                if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, CONTENT_TYPES, strict=True)], names=CONTENT_NAMES)
                     out, size = [[] for _ in CONTENT_NAMES], 0
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, CONTENT_TYPES, strict=True)], names=CONTENT_NAMES)
@@ -254,8 +266,28 @@ def _contents(window: int):
     return run
 
 
-CONTENT_NAMES = ["what", "a", "c", "rid", "q", "all", "first", "content", "w1", "w2"]
-CONTENT_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+CONTENT_NAMES = ["what", "a", "c", "rid", "q", "all", "first", "content", "b1", "b2", "w1", "w2"]
+CONTENT_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+
+def _hot_marks(blocks: DataFrame, keep: str) -> DataFrame:
+    """Blocks of windows (with their places) -> marked ranges (a, c, lo, hi) of window starts.
+
+    Of equal blocks, those after the first (with keep="none" all) are repeats as a whole; only the first of them, and
+    blocks that occur once, are taken apart into windows, which are counted in the same way.
+    """
+    firsts = stored(blocks.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("m"), F.min("place").alias("kept")), "blocks")
+    known = blocks.join(firsts.hint("merge"), ["b1", "b2"])
+    last = F.col("first") + F.size("w1") - 1
+    whole = known.where("place > kept" if keep == "first" else "m >= 2").select("a", "c", F.col("first").alias("lo"), last.alias("hi"))
+    single = known.where("place = kept").select("a", "c", "place", "first", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w"))
+    single = stored(single.select("a", "c", "place", (F.col("first") + F.col("i")).alias("first"), "w.w1", "w.w2"), "single-windows")
+    # stored, so that a digest that very many segments share can be split in the join; the join is the same at every size
+    windows = stored(single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m"), F.min("place").alias("kept")).where("m >= 2"), "windows")
+    again = single.join(windows.hint("merge"), ["w1", "w2"])
+    if keep == "first":
+        again = again.where("place > kept")
+    return whole.unionByName(again.select("a", "c", F.col("first").alias("lo"), F.col("first").alias("hi")))
 
 
 def _resolve(window: int, keep: str):
@@ -353,9 +385,9 @@ def _passages(base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def _shared_words(parts: DataFrame, live: DataFrame, content: DataFrame) -> DataFrame:
     """(rid, lo, hi): spans of words in passages that another document holds too."""
     start, width = F.shiftright("q", 20), F.shiftright("q", 10).bitwiseAND(1023)
-    rows = content.where(F.col("what") == PASSAGES)
-    windows = stored(rows.groupBy("w1", "w2").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.max("all").alias("any")).where("lo < hi or any").select("w1", "w2"), "windows")
-    marks = rows.where("not all").join(windows, ["w1", "w2"]).select("a", "c", F.col("first").alias("lo"), F.col("first").alias("hi"))
+    rows = content.where(F.col("what") == PASSAGES).select("a", "c", "rid", "all", F.posexplode("w1").alias("first", "w"))
+    windows = stored(rows.groupBy("a", "w").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.max("all").alias("any")).where("lo < hi or any").select("a", "w"), "windows")
+    marks = rows.where("not all").join(windows.hint("merge"), ["a", "w"]).select("a", "c", F.col("first").alias("lo"), F.col("first").alias("hi"))
     whole = live.where("all").select("a", "c", F.lit(0).alias("lo"), F.lit(1023).alias("hi"))
     spans = parts.join(whole.unionByName(marks), ["a", "c"])
     found = stored(spans.select("rid", (start + F.col("lo")).alias("lo"), (start + F.least(F.col("hi").cast("long"), width) + PASSAGE).alias("hi")), "shared-words")
@@ -386,16 +418,11 @@ def suffix_dedup(docs: DataFrame, window: int = 400, keep: str = "none", carry:
         word_parts, word_live, more = _passages(base)
         asked = asked.unionByName(more)
     want = asked.groupBy("rid").agg(F.collect_list(F.struct("a", "c", "q", "what", "all")).alias("want"))
-    content = stored(base.select("rid", "packed").join(want, "rid").select("rid", "packed", "want").mapInArrow(_contents(window), "what int, a long, c long, rid long, q long, all boolean, first int, content binary, w1 long, w2 long"), "contents", by="what")
+    content = stored(base.select("rid", "packed").join(want, "rid").select("rid", "packed", "want").mapInArrow(_contents(window), "what int, a long, c long, rid long, q long, all boolean, first int, content binary, b1 long, b2 long, w1 array<long>, w2 array<long>"), "contents", by="what")
     release(spark)
     content = content.withColumn("place", F.struct("rid", "q"))
-    texts, single = content.where(F.col("what") == TEXT), content.where(F.col("what") == BYTES)
-    # stored, so that a digest that very many segments share can be split in the join
-    windows = stored(single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m"), F.min("place").alias("kept")).where("m >= 2"), "windows")
-    hot = single.join(windows, ["w1", "w2"])
-    if keep == "first":
-        hot = hot.where("place > kept")
-    hot = hot.select("a", "c", F.col("first").alias("lo"), F.col("first").alias("hi"))
+    texts = content.where(F.col("what") == TEXT)
+    hot = _hot_marks(content.where(F.col("what") == BYTES), keep)
     found = texts.select("a", "c", "place", "content").repartition("a").sortWithinPartitions("a", "place", "c").mapInArrow(_resolve(window, keep), "a long, c long, lo int, hi int")
     whole = live.where("n >= 2").select("a", "c", F.lit(0).alias("lo"), F.lit(1023).alias("hi"), F.struct("rid", "q").alias("rep"))
     some = stored(found.unionByName(hot), "marks")
@@ -403,7 +430,7 @@ def suffix_dedup(docs: DataFrame, window: int = 400, keep: str = "none", carry:
     if with_passages:
         words = _shared_words(word_parts, word_live, content)
         forget(word_live)
-    forget(content), forget(windows), release(spark)
+    forget(content), release(spark)
     start, width = F.shiftright("q", 20), F.shiftright("q", 10).bitwiseAND(1023)
     columns = ("rid", "q", "lo", "hi")
     if keep == "first":
