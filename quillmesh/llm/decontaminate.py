@@ -49,14 +49,20 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return (Rolling(LOWER[data]).ranges(starts, ends) if len(starts) else np.zeros(0, np.uint64)), owner
 
 
+def segment_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes of many texts, hashed a chunk at a time."""
+    parts = [(h, owner + lo) for lo, _, data, offsets in text_chunks(texts) for h, owner in (word_hashes(data, offsets),)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def build_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs(key, text) -> segments: seg, ids, n_words (of each document), terms (sorted), counts, places (by term), the last three as numbers in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch["text"], SEGMENT):
-                hashes, owner = word_hashes(data, offsets)
+            for lo, hi, _, _ in text_chunks(batch["text"], SEGMENT):
+                hashes, owner = segment_words(batch["text"].slice(lo, hi - lo))
                 place = np.argsort(hashes, kind="stable")
                 terms, counts = np.unique(hashes, return_counts=True)
                 packed = (pa.array([v.tobytes()], pa.binary()) for v in (terms, counts.astype(np.uint32), place.astype(np.uint32)))
