@@ -17,7 +17,7 @@ group, and each is then described by its difference from the pivot, a small set:
 and dy, |x ^ y| = |dx| + |dy| - 2 |dx & dy|. Two members that both link with the pivot are in one component and need no
 comparison. For any other pair that links, the differences must share a number of tokens that follows from their sizes, so
 such pairs meet in a prefix of the differences (rarest tokens first, and those of one member only are skipped). These
-meetings are the groups of the next level, where the same is done with new pivots; after `LEVELS` levels the pairs that
+meetings are the groups of the next level, where the same is done with new pivots; after `levels` levels the pairs that
 are left are compared one by one. Groups whose members are all in one component are dropped before each level. No link
 between components is lost.
 
@@ -117,16 +117,16 @@ def _sets(n: int):
 
 def components(links: DataFrame, name: str = "component") -> DataFrame:
     """links(a, b) -> (node, root): each linked node's smallest reachable node, by label exchange and pointer jumping."""
-    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("a", "b"), name)
-    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), name)
+    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("a", "b"), name, narrow=True)
+    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), name, narrow=True)
     while True:
         near = both.join(labels.toDF("b", "r"), "b").groupBy("a").agg(F.min("r").alias("r")).withColumnRenamed("a", "node")
         lower = labels.join(near, "node").select("node", F.least("root", "r").alias("root"), F.col("root").alias("old"))
-        jump = stored(lower, name)
-        target = jump.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        after = stored(jump.join(target, "root", "left").select("node", F.least("root", F.coalesce("top", "root")).alias("root"), "old"), name)
+        # the jump follows the roots of the round before, so that a round stores one table
+        target = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        after = stored(lower.join(target, "root").select("node", F.least("root", "top").alias("root"), "old"), name, narrow=True)
         moved = after.where("root != old").limit(1).count()
-        forget(labels), forget(jump)
+        forget(labels)
         labels = after.select("node", "root")
         if not moved:
             forget(both)
@@ -202,8 +202,8 @@ def _pairwise(groups: DataFrame, described: DataFrame, roots: DataFrame | None,
     return both.where(F.arrays_overlap("other_a", "other_b")).where(close(delta, F.col("size_a") + F.col("size_b"), percent)).select("a", "b").distinct()
 
 
-def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id") -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id."""
+def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", levels: int = LEVELS) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id. More levels of pivots leave fewer pairs to compare; the result is the same."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
     source = docs.select(F.col(f"`{key}`").alias("doc_id"), text_of().alias("text")).withColumn("t", F.xxhash64("text"))
     hashed = stored(source.mapInArrow(_nodes(n, percent), f"doc_id {kind}, t long, size long, hash long, prefix array<long>"), "hashed")
@@ -247,10 +247,10 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_i
     least_own = postings.groupBy("g").agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     groups = postings.join(least_own, "g").where(can_link(size, F.col("own"), F.col("least"), percent)).select("g", "ref", "node", F.lit(False).alias("linked"), F.lit(True).alias("short"))
     described, links, roots, used = ranked.drop("first"), None, None, [ranked]
-    for i in range(LEVELS + 1):
+    for i in range(levels + 1):
         groups = stored(groups, "groups")
         used.append(groups)
-        if i == LEVELS:
+        if i == levels:
             found = stored(_pairwise(groups, described, roots, percent), "links")
         else:
             described, found = _compared(groups, described, roots, percent)
