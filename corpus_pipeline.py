@@ -25,7 +25,7 @@ from quillmesh.session import ship
 ORACLE_SQL = None
 
 #: Near copies share at least this share of their word shingles.
-NEAR_WORDS, NEAR_PERCENT = 5, 80
+NEAR_WORDS, NEAR_PERCENT, NEAR_LEVELS = 5, 80, 3
 #: Repeated passages of this many bytes are cut; fifty words are rarely shorter.
 REPEAT_BYTES = 250
 #: Words that a worker process of the packing stage remembers: fewer than in packing alone, as the other stages' data share its memory.
@@ -54,7 +54,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents that are linked by similarity, the one with the smallest id stays."""
     ship(spark)
-    groups = ngram_join(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
+    groups = ngram_join(docs, n=NEAR_WORDS, percent=NEAR_PERCENT, levels=NEAR_LEVELS)
     return _without(docs, groups.where("doc_id != component_id"), "near-copies")
 
 
