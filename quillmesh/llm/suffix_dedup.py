@@ -273,21 +273,25 @@ CONTENT_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.
 def _hot_marks(blocks: DataFrame, keep: str) -> DataFrame:
     """Blocks of windows (with their places) -> marked ranges (a, c, lo, hi) of window starts.
 
-    Of equal blocks, those after the first (with keep="none" all) are repeats as a whole; only the first of them, and
-    blocks that occur once, are taken apart into windows, which are counted in the same way.
+    With keep="first", equal blocks after the first are repeats as a whole; only the first of them, and blocks that occur
+    once, are taken apart into windows. With keep="none" all are: their windows are counted at once.
     """
-    firsts = stored(blocks.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("m"), F.min("place").alias("kept")), "blocks")
-    known = blocks.join(firsts.hint("merge"), ["b1", "b2"])
-    last = F.col("first") + F.size("w1") - 1
-    whole = known.where("place > kept" if keep == "first" else "m >= 2").select("a", "c", F.col("first").alias("lo"), last.alias("hi"))
-    single = known.where("place = kept").select("a", "c", "place", "first", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w"))
-    single = stored(single.select("a", "c", "place", (F.col("first") + F.col("i")).alias("first"), "w.w1", "w.w2"), "single-windows")
+    whole, apart = None, blocks
+    if keep == "first":
+        firsts = stored(blocks.groupBy("b1", "b2").agg(F.min("place").alias("kept")), "blocks")
+        known = blocks.join(firsts.hint("merge"), ["b1", "b2"])
+        last = F.col("first") + F.size("w1") - 1
+        whole, apart = known.where("place > kept").select("a", "c", F.col("first").alias("lo"), last.alias("hi")), known.where("place = kept")
+    single = apart.select("a", "c", "place", "first", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w"))
+    single = single.select("a", "c", "place", (F.col("first") + F.col("i")).alias("first"), "w.w1", "w.w2")
+    single = stored(single, "single-windows") if keep == "first" else single
     # stored, so that a digest that very many segments share can be split in the join; the join is the same at every size
     windows = stored(single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m"), F.min("place").alias("kept")).where("m >= 2"), "windows")
     again = single.join(windows.hint("merge"), ["w1", "w2"])
     if keep == "first":
         again = again.where("place > kept")
-    return whole.unionByName(again.select("a", "c", F.col("first").alias("lo"), F.col("first").alias("hi")))
+    marks = again.select("a", "c", F.col("first").alias("lo"), F.col("first").alias("hi"))
+    return marks if whole is None else whole.unionByName(marks)
 
 
 def _resolve(window: int, keep: str):

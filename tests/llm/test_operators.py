@@ -444,12 +444,9 @@ def test_ngram_join_families(spark, lister):
     assert got == expected_join(rows) and len({x[2] for x in got}) < 140
 
 
-@pytest.mark.parametrize("levels", [0, 1])
-def test_ngram_join_with_fewer_levels(docs, rows, lister, monkeypatch, levels):
-    from quillmesh.llm import ngram_join as module
-
-    monkeypatch.setattr(module, "LEVELS", levels)
-    assert lister(ngram_join(docs), "doc_id", "n_shingles", "component_id") == expected_join(rows)
+@pytest.mark.parametrize("levels", [0, 1, 3])
+def test_ngram_join_with_fewer_levels(docs, rows, lister, levels):
+    assert lister(ngram_join(docs, levels=levels), "doc_id", "n_shingles", "component_id") == expected_join(rows)
 
 
 def test_ngram_join_nothing(nothing):
