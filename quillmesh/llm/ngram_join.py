@@ -16,10 +16,14 @@ Big families are never expanded into all their pairs. The members of a token gro
 group, and each is then described by its difference from the pivot, a small set: for members x and y with differences dx
 and dy, |x ^ y| = |dx| + |dy| - 2 |dx & dy|. Two members that both link with the pivot are in one component and need no
 comparison. For any other pair that links, the differences must share a number of tokens that follows from their sizes, so
-such pairs meet in a prefix of the differences (rarest tokens first, and those of one member only are skipped). These
-meetings are the groups of the next level, where the same is done with new pivots; after `levels` levels the pairs that
-are left are compared one by one. Groups whose members are all in one component are dropped before each level. No link
-between components is lost.
+such pairs meet in a prefix of the differences (rarest tokens first, and those of one member only are skipped). A member
+with more tokens that the pivot lacks than it can spare has to share one of *those* with whatever it links with, as few of
+them can be missing in the other; it meets others in the first of them only, so that members that resemble neither the
+pivot nor each other do not meet in the pivot's tokens, which all of them lack. These meetings are the groups of the next
+level, where the same is done with new pivots; after `levels` levels the pairs that are left are compared one by one.
+Groups whose members are all in one component are dropped before each level. No link between components is lost.
+
+Tokens are counted a share of them at a time (`PARTS`), so that shuffle files of the whole corpus never lie on disk at once.
 
 Nodes are told apart by a 64-bit hash of their set and its size.
 
@@ -38,12 +42,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import forget, release, settings
+from ..storage import forget, gathered, release, settings
 from .common import Rolling, lists, mix, signed, stored, text_chunks, text_of, word_spans
 
 #: Size of the hash order's prefixes, in multiples of the tokens that a node may have for itself.
 PREFIX = 4 / 3
 LEVELS = 2
+#: Tokens are counted, and their nodes ranked, in so many steps; each takes its share of disk.
+PARTS = 4
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
@@ -138,67 +144,93 @@ def close(delta: Column, sizes: Column, percent: int) -> Column:
     return delta * (100 + percent) <= (100 - percent) * sizes
 
 
-def _difference(a: str, b: str) -> Column:
-    return F.array_union(F.array_except(a, b), F.array_except(b, a))
+def _only(a: str, b: str, c: str, d: str) -> Column:
+    """Tokens of a that are not in b, and of c that are not in d; a and c have none in common."""
+    return F.concat(F.array_except(a, b), F.array_except(c, d))
+
+
+def _shared(tokens: DataFrame, part: int) -> DataFrame:
+    """tokens(node, token) -> the rows of one part of the tokens, with `df`, the number of their nodes, where it is 2 or more.
+
+    The tokens are shuffled once, for the count and for the join.
+    """
+    dealt = tokens.where(F.pmod("token", F.lit(PARTS)) == part).repartition("token")
+    return dealt.join(dealt.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2"), "token")
 
 
 def _compared(groups: DataFrame, described: DataFrame, roots: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
-    """One level: groups(g, ref, node), described(ref, node, size, own, other, tokens).
+    """One level: groups(g, ref, node), described(ref, node, size, own, other, plus, minus): the tokens that
+    a node has and the pivot `ref` stands for has not, and the reverse.
 
-    Returns the members' descriptions relative to their groups' pivots, with `linked` (ref, node, size, own, other, tokens,
+    Returns the members' descriptions relative to their groups' pivots, with `linked` (ref, node, size, own, other, plus, minus,
     pivot, linked), and the links (a, b).
     """
-    described = described.select("ref", "node", "size", "own", "other", "tokens")
+    described = described.select("ref", "node", "size", "own", "other", "plus", "minus")
     known = groups.join(described.select("ref", "node", "size", "own"), ["ref", "node"])
     known = known.withColumn("root", F.col("node")) if roots is None else known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     pivots = known.groupBy("g", "ref").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("own", "node")).alias("first")).where("low != high").select("g", "ref", F.col("first.node").alias("pivot"))
     met = known.select("g", "ref", "node").join(pivots, ["g", "ref"]).where("node != pivot").select("ref", "node", "pivot").distinct()
-    centre = described.select("ref", F.col("node").alias("pivot"), F.col("size").alias("psize"), F.col("tokens").alias("ptokens"), F.col("other").alias("pother"))
+    centre = described.select("ref", F.col("node").alias("pivot"), F.col("size").alias("psize"), F.col("plus").alias("pplus"), F.col("minus").alias("pminus"), F.col("other").alias("pother"))
     both = met.join(described, ["ref", "node"]).join(centre, ["ref", "pivot"])
-    delta = both.withColumn("tokens", _difference("tokens", "ptokens"))
+    delta = both.withColumns({"plus": _only("plus", "pplus", "pminus", "minus"), "minus": _only("pplus", "plus", "minus", "pminus")})
     # the third order's prefixes must meet as well
-    linked = F.arrays_overlap("other", "pother") & close(F.size("tokens"), F.col("size") + F.col("psize"), percent)
-    new = stored(delta.select(F.xxhash64("ref", "pivot").alias("ref"), "node", "size", "own", "other", "tokens", "pivot", "psize", linked.alias("linked")), "described")
+    linked = F.arrays_overlap("other", "pother") & close(F.size("plus") + F.size("minus"), F.col("size") + F.col("psize"), percent)
+    new = stored(delta.select(F.xxhash64("ref", "pivot").alias("ref"), "node", "size", "own", "other", "plus", "minus", "pivot", "psize", linked.alias("linked")), "described")
     return new, new.where("linked").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
 
 
 def _next_groups(described: DataFrame, percent: int) -> DataFrame:
-    """(g, ref, node): members whose differences from a pivot share a token of their prefixes."""
+    """(g, ref, node, any, short): members that may link, as their differences from a pivot share a token of their prefixes.
+
+    Pairs of a group matter if one of them has `any`, or both have `short`.
+    """
     c = (100 - percent) / (100 + percent)
+    size, linked = F.col("size"), F.col("linked")
+    spare = size - needed(size, percent)
+    described = described.withColumn("beyond", F.size("plus") > spare)
     # where all members link with the pivot, nothing is left to compare
-    described = described.join(described.where(~F.col("linked")).select("ref").distinct(), "ref", "left_semi")
-    spread = described.select("ref", "node", F.explode("tokens").alias("token"))
-    counted = spread.groupBy("ref", "token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
-    listed = spread.join(counted, ["ref", "token"]).groupBy("ref", "node").agg(F.collect_list(F.struct("df", "token")).alias("x"))
-    d = F.size("tokens")
-    excess = d - c * (F.col("size") + F.col("psize"))
+    kinds = described.groupBy("ref").agg(F.max(~linked & ~F.col("beyond")).alias("apart"), F.max("beyond").alias("strange")).where("apart or strange")
+    # Members within what they can spare meet each other in whole differences. The others lack more of the pivot's tokens
+    # than any partner could, and meet all in what the pivot lacks.
+    whole, part = (F.struct(F.lit(own).alias("own"), tokens.alias("tokens")) for own, tokens in ((False, F.concat("plus", "minus")), (True, F.col("plus"))))
+    views = F.array_compact(F.array(F.when(F.col("apart") & ~F.col("beyond"), whole), F.when(F.col("strange"), part)))
+    views = described.join(kinds, "ref").select("ref", "node", "size", "psize", "linked", "beyond", F.explode(views).alias("view")).select("*", "view.own", "view.tokens").drop("view")
+    spread = views.select("ref", "own", "node", F.explode("tokens").alias("token"))
+    counted = spread.groupBy("ref", "own", "token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
+    listed = spread.join(counted, ["ref", "own", "token"]).groupBy("ref", "own", "node").agg(F.collect_list(F.struct("df", "token")).alias("x"))
+    heads, d = views.withColumn("d", F.size("tokens")).drop("tokens"), F.col("d")
+    excess = d - c * (size + F.col("psize"))
     # The least number of shared tokens of a pair that matters; one of its two does not link with the pivot. A partner that
     # does not link asks for `far` of them, whoever the other is; one that links may ask a member that does not for fewer.
     far, any_ = F.ceil((1 - c) * d / 2 - 1e-9), F.ceil((excess + 1 - c) / 2 - 1e-9)
     length = lambda least: (d - F.greatest(F.lit(1), least) + 1 - (d - F.size("x"))).cast("int")
-    ranked = described.join(listed, ["ref", "node"]).withColumn("k", length(F.when(F.col("linked"), far).otherwise(any_))).withColumn("near", length(far)).where("k > 0")
-    rows = ranked.select("ref", "node", "linked", "near", F.posexplode(F.slice(F.array_sort("x"), 1, F.col("k"))).alias("i", "s"))
-    rows = rows.select(F.xxhash64("ref", "s.token").alias("g"), "ref", "node", "linked", (F.col("i") < F.col("near")).alias("short"))
+    first = (spare + 1 - (d - F.size("x"))).cast("int")
+    ranked = heads.join(listed, ["ref", "own", "node"]).withColumn("k", F.when(F.col("own"), first).when(linked, length(far)).otherwise(length(any_))).withColumn("near", length(far)).where("k > 0")
+    rows = ranked.select("ref", "own", "node", "linked", "beyond", "near", F.posexplode(F.slice(F.array_sort("x"), 1, F.col("k"))).alias("i", "s"))
+    rows = rows.select(F.xxhash64("ref", "own", "s.token").alias("g"), "ref", "own", "node", F.when(F.col("own"), F.col("beyond")).otherwise(linked).alias("any"), (~F.col("own") & (F.col("i") < F.col("near"))).alias("short"))
     # groups, and members of them, without a pair that matters go
-    apart, count = ~F.col("linked"), lambda x: F.sum(x.cast("int"))
-    kinds = rows.groupBy("g", "ref").agg(count(F.col("linked")).alias("nl"), count(apart).alias("na"), count(apart & F.col("short")).alias("ns")).where("ns >= 2 or (nl >= 1 and na >= 1)")
-    return rows.join(kinds, ["g", "ref"]).where(F.when(F.col("linked"), F.col("na") >= 1).otherwise((F.col("nl") >= 1) | (F.col("short") & (F.col("ns") >= 2)))).select("g", "ref", "node", "linked", "short")
+    count = lambda x: F.sum(x.cast("int"))
+    wide, rest = F.col("any"), ~F.col("any")
+    kinds = rows.groupBy("g", "ref").agg(count(wide).alias("nw"), count(rest).alias("nr"), count(rest & F.col("short")).alias("ns")).where("ns >= 2 or (nw >= 1 and nw + nr >= 2)")
+    # two that link with the pivot are in one component
+    matters = F.when(wide, (F.col("nr") >= 1) | F.col("own")).otherwise((F.col("nw") >= 1) | (F.col("short") & (F.col("ns") >= 2)))
+    return rows.join(kinds, ["g", "ref"]).where(matters).select("g", "ref", "node", "any", "short")
 
 
 def _pairwise(groups: DataFrame, described: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
     """Links (a, b) among all members of each group that are not in one component yet."""
-    known = groups.join(described.select("ref", "node", "size", F.size("tokens").alias("d")), ["ref", "node"])
+    known = groups.join(described.select("ref", "node", "size", (F.size("plus") + F.size("minus")).alias("d")), ["ref", "node"])
     known = known.withColumn("root", F.col("node")) if roots is None else known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = known.groupBy("g", "ref").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("g", "ref")
     rest = known.join(mixed, ["g", "ref"])
-    one, two = (rest.select("g", "ref", *[F.col(x).alias(f"{x}{k}") for x in ("node", "size", "root", "d", "linked", "short")]) for k in "ab")
+    one, two = (rest.select("g", "ref", *[F.col(x).alias(f"{x}{k}") for x in ("node", "size", "root", "d", "any", "short")]) for k in "ab")
     # differences of very different sizes are too far apart whatever they share
-    matters = F.col("linkeda") | F.col("linkedb") | (F.col("shorta") & F.col("shortb"))
+    matters = F.col("anya") | F.col("anyb") | (F.col("shorta") & F.col("shortb"))
     near = matters & (one["g"] == two["g"]) & (one["ref"] == two["ref"]) & (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & close(F.abs(F.col("da") - F.col("db")), F.col("sizea") + F.col("sizeb"), percent)
     pairs = one.join(two, near).select(one["ref"], F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
-    sides = [described.select("ref", F.col("node").alias(k), *[F.col(x).alias(f"{x}_{k}") for x in ("size", "tokens", "other")]) for k in "ab"]
+    sides = [described.select("ref", F.col("node").alias(k), *[F.col(x).alias(f"{x}_{k}") for x in ("size", "plus", "minus", "other")]) for k in "ab"]
     both = pairs.join(sides[0], ["ref", "a"]).join(sides[1], ["ref", "b"])
-    delta = F.size("tokens_a") + F.size("tokens_b") - 2 * F.size(F.array_intersect("tokens_a", "tokens_b"))
+    delta = sum(F.size(f"{x}_a") + F.size(f"{x}_b") - 2 * F.size(F.array_intersect(f"{x}_a", f"{x}_b")) for x in ("plus", "minus"))
     return both.where(F.arrays_overlap("other_a", "other_b")).where(close(delta, F.col("size_a") + F.col("size_b"), percent)).select("a", "b").distinct()
 
 
@@ -217,10 +249,14 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_i
 
     # order 1: which tokens of the hash prefixes have two nodes?
     seen = nodes.select("node", F.explode("prefix").alias("token"))
-    shared = seen.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2").select("token")
-    common = seen.join(shared, "token").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
-    left = stored(nodes.join(common, "node").where(F.size("prefix") - F.col("common") <= size - needed(size, percent)).select("node", "hash", "size", "t"), "left")
-    release(spark)
+    found = gathered(spark, lambda i: _shared(seen, i).groupBy("node").agg(F.count(F.lit(1)).alias("common")), PARTS, "common")
+    common = found.groupBy("node").agg(F.sum("common").alias("common"))
+    tried = nodes.select("node", "hash", "size", "t", F.size("prefix").alias("tried"))
+    left = stored(tried.join(common, "node").where(F.col("tried") - F.col("common") <= size - needed(size, percent)).drop("tried", "common"), "left")
+    # the prefixes are not needed any more
+    narrow = stored(nodes.select("node", "hash", "size", "least"), "nodes")
+    forget(found), forget(nodes), release(spark)
+    nodes = narrow
 
     # their whole sets; a Bloom filter of a bounded size, which the join makes itself, keeps most other texts from being shuffled
     again = source.select("t", "text").join(left.where("size > 0").select("t"), "t", "left_semi").mapInArrow(_sets(n), "hash long, size long, tokens array<long>")
@@ -232,20 +268,27 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_i
 
     # orders 2 and 3
     tokens = sets.select("node", F.explode("tokens").alias("token"))
-    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
-    listed = tokens.join(counted, "token").groupBy("node").agg(F.collect_list(F.struct("df", "token")).alias("x"))
+    counted = gathered(spark, lambda i: _shared(tokens, i).groupBy("node").agg(F.collect_list(F.struct("df", "token")).alias("x")), PARTS, "counted")
     spare = size - needed(size, percent) + 1 - (size - F.size("x"))
-    ranked = sets.join(listed, "node").withColumn("k", spare.cast("int")).where("k > 0")
     rare = F.slice(F.array_sort("x"), 1, F.col("k"))
     classed = F.slice(F.array_sort(F.transform("x", lambda s: F.struct(F.floor(F.log2(s["df"])).alias("c"), F.xxhash64(s["token"], F.lit(7)).alias("h")))), 1, F.col("k"))
     own = (size - F.size("x")).alias("own")
-    ranked = stored(ranked.select(F.lit(0).cast("long").alias("ref"), "node", "size", own, "tokens", F.transform(rare, lambda s: s["token"]).alias("first"), F.transform(classed, lambda s: s["h"]).alias("other")), "ranked")
-    forget(sets), release(spark)
+
+    def ordered(i: int) -> DataFrame:
+        """The nodes of one part that have anything left of their prefix, with their prefixes under both orders."""
+        mine = lambda df: df.where(F.pmod("node", F.lit(PARTS)) == i)
+        listed = mine(counted).groupBy("node").agg(F.flatten(F.collect_list("x")).alias("x"))
+        listed = mine(sets).select("node", "size").join(listed, "node").withColumn("k", spare.cast("int")).where("k > 0")
+        prefixes = listed.select("node", own, F.transform(rare, lambda s: s["token"]).alias("first"), F.transform(classed, lambda s: s["h"]).alias("other"))
+        return mine(sets).join(prefixes, "node").select(F.lit(0).cast("long").alias("ref"), "node", "size", "own", F.col("tokens").alias("plus"), F.array().cast("array<long>").alias("minus"), "first", "other")
+
+    ranked = gathered(spark, ordered, PARTS, "ranked")
+    forget(counted), forget(sets), release(spark)
 
     # what a node could reach with the partner of the group that has the fewest tokens of its own
     postings = ranked.select(F.explode("first").alias("g"), "ref", "node", "size", "own")
     least_own = postings.groupBy("g").agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    groups = postings.join(least_own, "g").where(can_link(size, F.col("own"), F.col("least"), percent)).select("g", "ref", "node", F.lit(False).alias("linked"), F.lit(True).alias("short"))
+    groups = postings.join(least_own, "g").where(can_link(size, F.col("own"), F.col("least"), percent)).select("g", "ref", "node", F.lit(False).alias("any"), F.lit(True).alias("short"))
     described, links, roots, used = ranked.drop("first"), None, None, [ranked]
     for i in range(levels + 1):
         groups = stored(groups, "groups")

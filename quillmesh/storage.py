@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,18 @@ def stored(df: DataFrame, name: str, by: str | None = None, narrow: bool = False
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(spark: SparkSession, make: Callable[[int], DataFrame], parts: int, name: str) -> DataFrame:
+    """make(0), make(1), ... in one stored table. Each is written, and its shuffle files released, before the next is made."""
+    path = f"{shared_dir(ship(spark))}/quillmesh/{name}-{uuid.uuid4().hex}"
+    for i in range(parts):
+        df = make(i)
+        df.write.option("compression", "zstd").mode("append").parquet(path)
+        schema = df.schema
+        del df
+        release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
 @contextmanager
 def settings(spark: SparkSession, **values: str):
     """Session settings for a few statements; `__` stands for a dot."""

@@ -449,6 +449,30 @@ def test_ngram_join_with_fewer_levels(docs, rows, lister, levels):
     assert lister(ngram_join(docs, levels=levels), "doc_id", "n_shingles", "component_id") == expected_join(rows)
 
 
+def test_members_that_resemble_neither_the_pivot_nor_each_other_do_not_meet(spark):
+    from quillmesh.llm.ngram_join import _next_groups
+
+    own = {m: [1000 * (m + 1) + i for i in range(95)] for m in range(20)}
+    own[20] = own[0][:92] + [7, 8, 9]
+    lacking = list(range(100, 195))
+    rows = [(1, m, 100, 0, [1], x, lacking, x + lacking, 99, 100, False) for m, x in own.items()]
+    described = spark.createDataFrame(rows, "ref long, node long, size long, own long, other array<long>, plus array<long>, minus array<long>, tokens array<long>, pivot long, psize long, linked boolean")
+    met = defaultdict(set)
+    for r in _next_groups(described, 80).collect():
+        met[r.g].add(r.node)
+    assert set(map(frozenset, met.values())) == {frozenset({0, 20})}
+
+
+def test_ngram_join_counts_every_token_in_one_part(spark):
+    from quillmesh.llm.ngram_join import PARTS, _shared
+
+    rows = [(i % 97, hash_ - 2000) for i, hash_ in enumerate(x * 37 % 4001 for x in range(6000))]
+    df = Counter(t for _, t in rows)
+    parts = [_shared(spark.createDataFrame(rows, "node long, token long"), i).collect() for i in range(PARTS)]
+    assert sorted((r.node, r.token, r.df) for p in parts for r in p) == sorted((n, t, df[t]) for n, t in rows if df[t] >= 2)
+    assert max(map(len, parts)) < 0.3 * sum(map(len, parts))
+
+
 def test_ngram_join_nothing(nothing):
     assert ngram_join(nothing).count() == 0
 
