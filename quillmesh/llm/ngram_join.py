@@ -15,13 +15,15 @@ similarity is at least `percent` / 100. Linked nodes share a token in their pref
 Big families are never expanded into all their pairs. The members of a token group are compared with one pivot of the
 group, and each is then described by its difference from the pivot, a small set: for members x and y with differences dx
 and dy, |x ^ y| = |dx| + |dy| - 2 |dx & dy|. Two members that both link with the pivot are in one component and need no
-comparison. For any other pair that links, the differences must share a number of tokens that follows from their sizes, so
-such pairs meet in a prefix of the differences (rarest tokens first, and those of one member only are skipped). A member
-with more tokens that the pivot lacks than it can spare has to share one of *those* with whatever it links with, as few of
-them can be missing in the other; it meets others in the first of them only, so that members that resemble neither the
-pivot nor each other do not meet in the pivot's tokens, which all of them lack. These meetings are the groups of the next
-level, where the same is done with new pivots; after `levels` levels the pairs that are left are compared one by one.
-Groups whose members are all in one component are dropped before each level. No link between components is lost.
+comparison. Any other pair that links meets in one of two ways. What x and y share of the pivot is at most what either has
+of it, so from the sizes follows how many tokens they must share that the pivot lacks. Where that is one at least, they meet
+in a prefix of those tokens alone. This holds for nearly all pairs of which one does not link with the pivot, and such tokens
+are rarely common, while those that two members lack of the pivot meet by chance. Only where a pair may do without (one of the
+two is so small that the pivot's tokens are enough), it meets in a prefix of the whole differences, which must share a number
+of tokens that follows from their sizes. Prefixes take the rarest tokens first, and skip those of one member only. Members of
+a meeting who ask for more than it can offer leave it. The meetings are the groups of the next level, where the same is done
+with new pivots; after `levels` levels the pairs that are left are compared one by one. Groups whose members are all in one
+component are dropped before each level. No link between components is lost.
 
 Tokens are counted a share of them at a time (`PARTS`), so that shuffle files of the whole corpus never lie on disk at once.
 
@@ -166,7 +168,7 @@ def _compared(groups: DataFrame, described: DataFrame, roots: DataFrame | None,
     pivot, linked), and the links (a, b).
     """
     described = described.select("ref", "node", "size", "own", "other", "plus", "minus")
-    known = groups.join(described.select("ref", "node", "size", "own"), ["ref", "node"])
+    known = groups.select("g", "ref", "node").join(described.select("ref", "node", "size", "own"), ["ref", "node"])
     known = known.withColumn("root", F.col("node")) if roots is None else known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     pivots = known.groupBy("g", "ref").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("own", "node")).alias("first")).where("low != high").select("g", "ref", F.col("first.node").alias("pivot"))
     met = known.select("g", "ref", "node").join(pivots, ["g", "ref"]).where("node != pivot").select("ref", "node", "pivot").distinct()
@@ -179,54 +181,76 @@ def _compared(groups: DataFrame, described: DataFrame, roots: DataFrame | None,
     return new, new.where("linked").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
 
 
+def _offered(size: Column, partner: Column, psize: Column, lacking: Column, percent: int) -> Column:
+    """Least number of tokens beyond the pivot that two sets of these sizes share if they link, when one lacks `lacking` of its tokens."""
+    return F.ceil((size + partner) * percent / (100 + percent)) - (psize - lacking)
+
+
 def _next_groups(described: DataFrame, percent: int) -> DataFrame:
-    """(g, ref, node, any, short): members that may link, as their differences from a pivot share a token of their prefixes.
+    """(g, ref, node, own, shared, any, short): members that may link, as their differences from a pivot share a token of their prefixes.
 
-    Pairs of a group matter if one of them has `any`, or both have `short`.
+    Those of groups with `own` share at least one token that the pivot lacks, of the `shared` ones that others have as well; the
+    others may share none. Pairs of a group matter if one of them has `any`, or both have `short`.
     """
     c = (100 - percent) / (100 + percent)
-    size, linked = F.col("size"), F.col("linked")
+    size, psize, linked, lacking = F.col("size"), F.col("psize"), F.col("linked"), F.col("lacking")
     spare = size - needed(size, percent)
-    described = described.withColumn("beyond", F.size("plus") > spare)
-    # where all members link with the pivot, nothing is left to compare
-    kinds = described.groupBy("ref").agg(F.max(~linked & ~F.col("beyond")).alias("apart"), F.max("beyond").alias("strange")).where("apart or strange")
-    # Members within what they can spare meet each other in whole differences. The others lack more of the pivot's tokens
-    # than any partner could, and meet all in what the pivot lacks.
-    whole, part = (F.struct(F.lit(own).alias("own"), tokens.alias("tokens")) for own, tokens in ((False, F.concat("plus", "minus")), (True, F.col("plus"))))
-    views = F.array_compact(F.array(F.when(F.col("apart") & ~F.col("beyond"), whole), F.when(F.col("strange"), part)))
-    views = described.join(kinds, "ref").select("ref", "node", "size", "psize", "linked", "beyond", F.explode(views).alias("view")).select("*", "view.own", "view.tokens").drop("view")
-    spread = views.select("ref", "own", "node", F.explode("tokens").alias("token"))
+    described = described.withColumns({"beyond": F.size("plus") > spare, "lacking": F.size("minus")})
+    # one of two that matter does not link with the pivot; where all members do, nothing is left to compare
+    limits = [F.min("size").alias("least"), F.min(F.when(~linked, size)).alias("far_least"), F.min(F.when(~linked, lacking)).alias("far_lacking")]
+    kinds = described.groupBy("ref").agg(F.max(~linked & ~F.col("beyond")).alias("apart"), *limits).where("far_least is not null")
+    heads = described.join(kinds, "ref")
+
+    def asked() -> Column:
+        """How many tokens beyond the pivot a member shares with any partner within the `limits`."""
+        near = F.greatest(F.when(linked, F.col("far_least")).otherwise(F.col("least")), needed(size, percent))
+        return _offered(size, near, psize, F.when(linked, F.greatest(lacking, F.col("far_lacking"))).otherwise(lacking), percent)
+
+    # Members with more beyond the pivot than they can spare meet others in that only, whatever the sizes.
+    whole = F.col("apart") & ~F.col("beyond")
+    spread = heads.select("ref", "node", F.size("plus").alias("n"), F.posexplode(F.when(whole, F.concat("plus", "minus")).otherwise(F.col("plus"))).alias("i", "token")).select("ref", "node", (F.col("i") < F.col("n")).alias("own"), "token")
     counted = spread.groupBy("ref", "own", "token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
-    listed = spread.join(counted, ["ref", "own", "token"]).groupBy("ref", "own", "node").agg(F.collect_list(F.struct("df", "token")).alias("x"))
-    heads, d = views.withColumn("d", F.size("tokens")).drop("tokens"), F.col("d")
-    excess = d - c * (size + F.col("psize"))
+    held = F.struct("df", "token")
+    listed = spread.join(counted, ["ref", "own", "token"]).groupBy("ref", "node").agg(F.collect_list(held).alias("x"), F.collect_list(F.when(F.col("own"), held)).alias("beyond_x"))
+    heads, d = heads.withColumns({"d": F.size("plus") + F.size("minus"), "whole": whole, "asked": asked()}).drop("plus", "minus", "other", "own"), F.col("d")
+    excess = d - c * (size + psize)
     # The least number of shared tokens of a pair that matters; one of its two does not link with the pivot. A partner that
     # does not link asks for `far` of them, whoever the other is; one that links may ask a member that does not for fewer.
     far, any_ = F.ceil((1 - c) * d / 2 - 1e-9), F.ceil((excess + 1 - c) / 2 - 1e-9)
     length = lambda least: (d - F.greatest(F.lit(1), least) + 1 - (d - F.size("x"))).cast("int")
-    first = (spare + 1 - (d - F.size("x"))).cast("int")
-    ranked = heads.join(listed, ["ref", "own", "node"]).withColumn("k", F.when(F.col("own"), first).when(linked, length(far)).otherwise(length(any_))).withColumn("near", length(far)).where("k > 0")
-    rows = ranked.select("ref", "own", "node", "linked", "beyond", "near", F.posexplode(F.slice(F.array_sort("x"), 1, F.col("k"))).alias("i", "s"))
-    rows = rows.select(F.xxhash64("ref", "own", "s.token").alias("g"), "ref", "own", "node", F.when(F.col("own"), F.col("beyond")).otherwise(linked).alias("any"), (~F.col("own") & (F.col("i") < F.col("near"))).alias("short"))
+    prefix = lambda x, k: F.slice(F.array_sort(x), 1, F.greatest(k, F.lit(0)))
+    ranked = heads.join(listed, ["ref", "node"]).withColumns({"near": length(far), "shared": F.size("beyond_x")})
+    views = F.array(
+        F.struct(F.lit(True).alias("own"), prefix("beyond_x", (F.col("shared") - F.greatest(F.lit(1), F.col("asked")) + 1).cast("int")).alias("p")),
+        # all that are left ask for nothing beyond the pivot of some partner
+        F.struct(F.lit(False).alias("own"), F.when(F.col("whole") & (F.col("asked") <= 0), prefix("x", F.when(linked, length(far)).otherwise(length(any_)))).otherwise(F.array()).alias("p")),
+    )
+    kept = ["ref", "node", "size", "psize", "lacking", "linked", "shared", "near"]
+    rows = ranked.select(*kept, F.explode(views).alias("v")).select(*kept, "v.own", F.posexplode("v.p").alias("i", "s"))
+    rows = rows.select(F.xxhash64("ref", "own", "s.token").alias("g"), *kept[:-1], "own", F.when(F.col("own"), ~linked).otherwise(linked).alias("any"), (~F.col("own") & (F.col("i") < F.col("near"))).alias("short"))
+    # members who ask for more than their group can offer go
+    offers = rows.groupBy("g", "ref").agg(F.count(F.lit(1)).alias("n"), *limits).where("n >= 2 and far_least is not null").drop("n")
+    rows = rows.join(offers, ["g", "ref"]).where(asked() <= F.when(F.col("own"), F.col("shared")).otherwise(0)).select("g", "ref", "node", "own", "shared", "any", "short")
     # groups, and members of them, without a pair that matters go
     count = lambda x: F.sum(x.cast("int"))
     wide, rest = F.col("any"), ~F.col("any")
     kinds = rows.groupBy("g", "ref").agg(count(wide).alias("nw"), count(rest).alias("nr"), count(rest & F.col("short")).alias("ns")).where("ns >= 2 or (nw >= 1 and nw + nr >= 2)")
     # two that link with the pivot are in one component
     matters = F.when(wide, (F.col("nr") >= 1) | F.col("own")).otherwise((F.col("nw") >= 1) | (F.col("short") & (F.col("ns") >= 2)))
-    return rows.join(kinds, ["g", "ref"]).where(matters).select("g", "ref", "node", "any", "short")
+    return rows.join(kinds, ["g", "ref"]).where(matters).select("g", "ref", "node", "own", "shared", "any", "short")
 
 
 def _pairwise(groups: DataFrame, described: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
     """Links (a, b) among all members of each group that are not in one component yet."""
-    known = groups.join(described.select("ref", "node", "size", (F.size("plus") + F.size("minus")).alias("d")), ["ref", "node"])
+    known = groups.join(described.select("ref", "node", "size", "psize", F.size("minus").alias("lacking"), (F.size("plus") + F.size("minus")).alias("d")), ["ref", "node"])
     known = known.withColumn("root", F.col("node")) if roots is None else known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = known.groupBy("g", "ref").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("g", "ref")
     rest = known.join(mixed, ["g", "ref"])
-    one, two = (rest.select("g", "ref", *[F.col(x).alias(f"{x}{k}") for x in ("node", "size", "root", "d", "any", "short")]) for k in "ab")
+    one, two = (rest.select("g", "ref", *[F.col(x).alias(f"{x}{k}") for x in ("node", "size", "psize", "root", "d", "lacking", "own", "shared", "any", "short")]) for k in "ab")
     # differences of very different sizes are too far apart whatever they share
     matters = F.col("anya") | F.col("anyb") | (F.col("shorta") & F.col("shortb"))
-    near = matters & (one["g"] == two["g"]) & (one["ref"] == two["ref"]) & (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & close(F.abs(F.col("da") - F.col("db")), F.col("sizea") + F.col("sizeb"), percent)
+    asked = _offered(F.col("sizea"), F.col("sizeb"), F.col("psizea"), F.greatest("lackinga", "lackingb"), percent) <= F.when(F.col("owna"), F.least("shareda", "sharedb")).otherwise(0)
+    near = matters & asked & (one["g"] == two["g"]) & (one["ref"] == two["ref"]) & (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & close(F.abs(F.col("da") - F.col("db")), F.col("sizea") + F.col("sizeb"), percent)
     pairs = one.join(two, near).select(one["ref"], F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
     sides = [described.select("ref", F.col("node").alias(k), *[F.col(x).alias(f"{x}_{k}") for x in ("size", "plus", "minus", "other")]) for k in "ab"]
     both = pairs.join(sides[0], ["ref", "a"]).join(sides[1], ["ref", "b"])
@@ -288,8 +312,9 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_i
     # what a node could reach with the partner of the group that has the fewest tokens of its own
     postings = ranked.select(F.explode("first").alias("g"), "ref", "node", "size", "own")
     least_own = postings.groupBy("g").agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    groups = postings.join(least_own, "g").where(can_link(size, F.col("own"), F.col("least"), percent)).select("g", "ref", "node", F.lit(False).alias("any"), F.lit(True).alias("short"))
-    described, links, roots, used = ranked.drop("first"), None, None, [ranked]
+    groups = postings.join(least_own, "g").where(can_link(size, F.col("own"), F.col("least"), percent)).select("g", "ref", "node", F.lit(True).alias("own"), (size - F.col("own")).cast("int").alias("shared"), F.lit(False).alias("any"), F.lit(True).alias("short"))
+    # the first pivot is the empty set
+    described, links, roots, used = ranked.drop("first").withColumn("psize", F.lit(0).cast("long")), None, None, [ranked]
     for i in range(levels + 1):
         groups = stored(groups, "groups")
         used.append(groups)

@@ -1,6 +1,7 @@
 """The operators against plain versions, on whole small tables and on a table of odd rows."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -463,6 +464,43 @@ def test_members_that_resemble_neither_the_pivot_nor_each_other_do_not_meet(spar
     assert set(map(frozenset, met.values())) == {frozenset({0, 20})}
 
 
+def test_members_that_lack_parts_of_the_pivot_by_chance_do_not_meet(spark):
+    """A family of edits of one text, of which a part does not link with it: all pairs of it lack some of the same tokens."""
+    from quillmesh.llm.ngram_join import _next_groups
+
+    draw, rows = random.Random(5), []
+    for m in range(80):
+        n = draw.randint(50, 80) if m % 4 == 0 else draw.randint(5, 40)  # of 396 tokens, replaced by others
+        rows.append((1, m, 396, 0, [1], [1000 * (m + 1) + i for i in range(n)], sorted(draw.sample(range(396), n)), 99, 396, (396 - n) * 100 >= 80 * (396 + n)))
+    # these two lost nearly the same quarter and have nothing else; the third has as few, but lost others
+    rows += [(2, 100 + i, 396 - n, 0, [1], [], list(range(s, s + n)), 99, 396, False) for i, (s, n) in enumerate([(0, 100), (2, 95), (200, 100)])]
+    described = spark.createDataFrame(rows, "ref long, node long, size long, own long, other array<long>, plus array<long>, minus array<long>, pivot long, psize long, linked boolean")
+    met = defaultdict(set)
+    for r in _next_groups(described, 80).collect():
+        met[r.g].add(r.node)
+    assert {100, 101} in met.values()
+    assert len({(a, b) for x in met.values() for a in x for b in x if a < b < 100}) < 50  # of 3160 pairs
+
+
+@pytest.mark.parametrize("levels", [0, 1, 2])
+def test_ngram_join_of_a_family_around_the_limit(spark, lister, levels):
+    """Edits of one text by other words, by cuts and by both, similar to it and each other between 0.6 and 1."""
+    draw, text = random.Random(11), [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join(text))]
+    for m in range(1, 70):
+        w = list(text)
+        for at in draw.sample(range(len(w)), draw.randint(0, 7)):
+            w[at] = f"x{draw.randint(0, 9)}"
+        if m % 3 == 0:
+            lo = draw.randint(0, 20)
+            w = w[lo : len(w) - draw.randint(0, 20)]
+        if m % 5 == 0:
+            w += [f"y{m // 10}z{i}" for i in range(draw.randint(0, 25))]
+        rows.append((m, " ".join(w)))
+    got = lister(ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), levels=levels), "doc_id", "n_shingles", "component_id")
+    assert got == expected_join(rows) and 5 < len({x[2] for x in got}) < 65
+
+
 def test_ngram_join_counts_every_token_in_one_part(spark):
     from quillmesh.llm.ngram_join import PARTS, _shared
 
