@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import stored, table
-from quillmesh.llm.decontaminate import decontaminate
+from quillmesh.llm.decontaminate import build_index, search_index
 from quillmesh.llm.ngram_join import ngram_join
 from quillmesh.llm.packing import pack
 from quillmesh.llm.quality_rules import quality_rules
 from quillmesh.llm.suffix_dedup import suffix_dedup
 from quillmesh.session import ship
+from quillmesh.storage import forget
 
 #: No SQL: the packing stage needs a tokenizer and a curve; tested against brute-force versions of the stages instead.
 ORACLE_SQL = None
@@ -62,15 +63,19 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Later copies of repeated passages are cut out of their texts; the first copy stays."""
     ship(spark)
     renamed, names = _renamed(docs)
-    cut = suffix_dedup(renamed, window=REPEAT_BYTES, keep="first", carry=tuple(names), with_text=True)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return cut.select(*[new.get(c, F.col(n)).alias(c) for n, c in names.items()])
+    # what is made anew is not carried along
+    cut = suffix_dedup(renamed, window=REPEAT_BYTES, keep="first", carry=tuple(n for n, c in names.items() if c not in new), with_text=True)
+    return cut.select(*[(new[c] if c in new else F.col(n)).alias(c) for n, c in names.items()])
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages go, however long they are: one window of an item (or a whole shorter item) is enough."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("n_hit > 0"), "contaminated")
+    index = build_index(docs)
+    found = search_index(index, table(spark, sf_dir, "benchmark"))
+    clean = _without(docs, found.where("n_hit > 0"), "contaminated")
+    forget(index)  # the ids are stored
+    return clean
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,9 @@ A string of `window` bytes that starts in two places of the corpus is a repeat.
    digests of its single windows are counted in Spark instead, which gives the same marks without a large group.
 4. Removal. The marked ranges go back to their documents, which are cut in place.
 
+Texts are shuffled in steps 3 and 4 only if the step has something to do with them: a set of row numbers, one bit a row and
+sent to all tasks, tells which; the others are left where they are stored.
+
 keep="none" removes every copy; keep="first" keeps the copy that comes first in row order (input order) and removes the
 later ones.
 
@@ -33,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -271,7 +274,7 @@ CONTENT_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.
 
 
 def _hot_marks(blocks: DataFrame, keep: str) -> DataFrame:
-    """Blocks of windows (with their places) -> marked ranges (a, c, lo, hi) of window starts.
+    """Blocks of windows (with their places) -> marked ranges (rid, q, lo, hi) of window starts.
 
     With keep="first", equal blocks after the first are repeats as a whole; only the first of them, and blocks that occur
     once, are taken apart into windows. With keep="none" all are: their windows are counted at once.
@@ -281,26 +284,26 @@ def _hot_marks(blocks: DataFrame, keep: str) -> DataFrame:
         firsts = stored(blocks.groupBy("b1", "b2").agg(F.min("place").alias("kept")), "blocks")
         known = blocks.join(firsts.hint("merge"), ["b1", "b2"])
         last = F.col("first") + F.size("w1") - 1
-        whole, apart = known.where("place > kept").select("a", "c", F.col("first").alias("lo"), last.alias("hi")), known.where("place = kept")
-    single = apart.select("a", "c", "place", "first", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w"))
-    single = single.select("a", "c", "place", (F.col("first") + F.col("i")).alias("first"), "w.w1", "w.w2")
+        whole, apart = known.where("place > kept").select("place.rid", "place.q", F.col("first").alias("lo"), last.alias("hi")), known.where("place = kept")
+    single = apart.select("place", "first", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w"))
+    single = single.select("place", (F.col("first") + F.col("i")).alias("first"), "w.w1", "w.w2")
     single = stored(single, "single-windows") if keep == "first" else single
     # stored, so that a digest that very many segments share can be split in the join; the join is the same at every size
     windows = stored(single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m"), F.min("place").alias("kept")).where("m >= 2"), "windows")
     again = single.join(windows.hint("merge"), ["w1", "w2"])
     if keep == "first":
         again = again.where("place > kept")
-    marks = again.select("a", "c", F.col("first").alias("lo"), F.col("first").alias("hi"))
+    marks = again.select("place.rid", "place.q", F.col("first").alias("lo"), F.col("first").alias("hi"))
     return marks if whole is None else whole.unionByName(marks)
 
 
 def _resolve(window: int, keep: str):
-    """Rows sorted by anchor -> marked ranges (from, to) of window starts, counted from the segment's first."""
+    """Rows sorted by anchor -> marked ranges (lo, hi) of window starts, counted from the segment's first."""
 
     def marks(rows: list[tuple]) -> pa.RecordBatch:
         # rows of one or more whole anchors, in row order within each anchor
-        data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-        size = np.array([len(r[3]) for r in rows])
+        data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
+        size = np.array([len(r[2]) for r in rows])
         at = np.concatenate([[0], np.cumsum(size)])
         count = size - window + 1
         owner = np.repeat(np.arange(len(rows)), count)
@@ -309,28 +312,61 @@ def _resolve(window: int, keep: str):
         hit = earlier if keep == "first" else earlier | later
         edge = np.flatnonzero(hit & np.concatenate([[True], ~hit[:-1] | (owner[1:] != owner[:-1])]))
         stop = np.flatnonzero(hit & np.concatenate([~hit[1:] | (owner[1:] != owner[:-1]), [True]]))
-        of = owner[edge]
-        return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in of], pa.int64()), pa.array([rows[i][1] for i in of], pa.int64()), pa.array(local[edge].astype(np.int32)), pa.array(local[stop].astype(np.int32))], names=["a", "c", "lo", "hi"])
+        of = [rows[i][1] for i in owner[edge]]
+        return pa.RecordBatch.from_arrays([pa.array([x["rid"] for x in of], pa.int64()), pa.array([x["q"] for x in of], pa.int64()), pa.array(local[edge].astype(np.int32)), pa.array(local[stop].astype(np.int32))], names=["rid", "q", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held, anchor = [], 0, None
         for batch in batches:
-            for row in zip(*(batch[n].to_pylist() for n in ("a", "c", "place", "content")), strict=True):
+            for row in zip(*(batch[n].to_pylist() for n in ("a", "place", "content")), strict=True):
                 if row[0] != anchor and held >= CHUNK:
                     yield marks(rows)
                     rows, held = [], 0
                 anchor = row[0]
                 rows.append(row)
-                held += len(row[3])
+                held += len(row[2])
         if rows:
             yield marks(rows)
 
     return run
 
 
-def _cut(window: int, carry: list[str], with_text: bool):
+def _numbered(rows: DataFrame) -> Broadcast:
+    """rows(rid) -> the set of their numbers, 64 to a word: the words' numbers, ascending, and their bits."""
+    bit = F.expr("shiftleft(1L, cast(rid & 63 as int))")
+    words = rows.groupBy(F.shiftright("rid", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    at, bits = (words[c].to_numpy() for c in ("at", "bits"))
+    order = np.argsort(at)
+    return rows.sparkSession.sparkContext.broadcast((at[order], bits[order].view(np.uint64)))
+
+
+def _among(numbers: Broadcast, inside: bool):
+    """The rows whose numbers are in the set, or those whose numbers are not."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bits = numbers.value
         for batch in batches:
+            rid = batch["rid"].to_numpy()
+            has = np.zeros(len(rid), bool)
+            if len(at):
+                word = np.minimum(np.searchsorted(at, rid >> 6), len(at) - 1)
+                has = (at[word] == rid >> 6) & (bits[word] >> (rid & 63).astype(np.uint64) & np.uint64(1) == 1)
+            yield batch.filter(pa.array(has == inside))
+
+    return run
+
+
+def _portions(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts have about `most` bytes, however well they compress; whole rows only."""
+    held = np.cumsum(batch["n_bytes"].to_numpy()) // most
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(held)) + 1, [batch.num_rows]])
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield batch.slice(lo, hi - lo)
+
+
+def _cut(window: int, carry: list[str], with_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for batch in batches for part in _portions(batch)):
             out = [[] for _ in range(5 + with_text)]
             for packed, spans, words in zip(batch["packed"].to_pylist(), batch["spans"], batch["words"], strict=True):
                 data = zlib.decompress(packed)
@@ -422,12 +458,13 @@ def suffix_dedup(docs: DataFrame, window: int = 400, keep: str = "none", carry:
         word_parts, word_live, more = _passages(base)
         asked = asked.unionByName(more)
     want = asked.groupBy("rid").agg(F.collect_list(F.struct("a", "c", "q", "what", "all")).alias("want"))
-    content = stored(base.select("rid", "packed").join(want, "rid").select("rid", "packed", "want").mapInArrow(_contents(window), "what int, a long, c long, rid long, q long, all boolean, first int, content binary, b1 long, b2 long, w1 array<long>, w2 array<long>"), "contents", by="what")
+    asked_of = base.select("rid", "packed").mapInArrow(_among(_numbered(asked.select("rid")), True), "rid long, packed binary")
+    content = stored(asked_of.join(want.hint("merge"), "rid").select("rid", "packed", "want").mapInArrow(_contents(window), "what int, a long, c long, rid long, q long, all boolean, first int, content binary, b1 long, b2 long, w1 array<long>, w2 array<long>"), "contents", by="what")
     release(spark)
     content = content.withColumn("place", F.struct("rid", "q"))
     texts = content.where(F.col("what") == TEXT)
     hot = _hot_marks(content.where(F.col("what") == BYTES), keep)
-    found = texts.select("a", "c", "place", "content").repartition("a").sortWithinPartitions("a", "place", "c").mapInArrow(_resolve(window, keep), "a long, c long, lo int, hi int")
+    found = texts.select("a", "place", "content").repartition("a").sortWithinPartitions("a", "place").mapInArrow(_resolve(window, keep), "rid long, q long, lo int, hi int")
     whole = live.where("n >= 2").select("a", "c", F.lit(0).alias("lo"), F.lit(1023).alias("hi"), F.struct("rid", "q").alias("rep"))
     some = stored(found.unionByName(hot), "marks")
     words = None
@@ -437,19 +474,20 @@ def suffix_dedup(docs: DataFrame, window: int = 400, keep: str = "none", carry:
     forget(content), release(spark)
     start, width = F.shiftright("q", 20), F.shiftright("q", 10).bitwiseAND(1023)
     columns = ("rid", "q", "lo", "hi")
+    everywhere = parts.join(whole, ["a", "c"])
     if keep == "first":
-        everywhere = parts.join(whole, ["a", "c"]).where(F.struct("rid", "q") > F.col("rep"))
-        inside = live.select("a", "c", "rid", "q").join(some, ["a", "c"])
-    else:
-        everywhere = parts.join(whole, ["a", "c"])
-        inside = live.where("n = 1").select("a", "c", "rid", "q").join(some, ["a", "c"])
-    marked = everywhere.select(*columns).unionByName(inside.select(*columns))
+        everywhere = everywhere.where(F.struct("rid", "q") > F.col("rep"))
+    marked = everywhere.select(*columns).unionByName(some.select(*columns))
     span, none = F.struct("lo", "hi"), F.lit(None).cast("struct<lo:long,hi:long>")
     spans = marked.select("rid", (start + F.col("lo")).alias("lo"), (start + F.least(F.col("hi").cast("long"), width) + window).alias("hi")).select("rid", span.alias("s"), none.alias("w"))
     if words is not None:
         spans = spans.unionByName(words.select("rid", none.alias("s"), span.alias("w")))
     gone = stored(spans.groupBy("rid").agg(F.collect_list("s").alias("spans"), F.collect_list("w").alias("words")), "spans")
     forget(live), forget(some), forget(words), release(spark)
-    out = base.select("rid", *names, "n_bytes", "packed").join(gone, "rid", "left").select(*names, "n_bytes", "packed", "spans", "words")
+    # the others keep all that they have, and need not be shuffled
+    held, cut, numbers = base.select("rid", *names, "n_bytes", "packed"), _cut(window, names, with_text), _numbered(gone.select("rid"))
+    hit = held.mapInArrow(_among(numbers, True), f"rid long, {typed}, n_bytes long, packed binary").join(gone.hint("merge"), "rid").select(*names, "n_bytes", "packed", "spans", "words")
+    rest, others = held.withColumns({c: F.lit(None).cast("array<struct<lo:long,hi:long>>") for c in ("spans", "words")}), _among(numbers, False)
     shape = f"{typed}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>, n_shared_words long" + ", text string" * with_text
-    return out.mapInArrow(_cut(window, names, with_text), shape).select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", *(["text"] if with_text else []), *(["n_shared_words"] if with_passages else []))
+    out = hit.mapInArrow(cut, shape).unionByName(rest.mapInArrow(lambda batches: cut(others(batches)), shape))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", *(["text"] if with_text else []), *(["n_shared_words"] if with_passages else []))

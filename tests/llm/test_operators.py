@@ -97,6 +97,39 @@ def test_suffix_dedup_whole_table(spark, tiny, lister):
     assert lister(Q.op1_suffix_dedup(spark, tiny), "doc_id", *COLUMNS1, "n_shared_words") == paired(rows, wanted)
 
 
+def test_suffix_dedup_row_numbers(spark):
+    """Sets of row numbers: any bit of a word, several partitions, none at all."""
+    from quillmesh.llm.suffix_dedup import _among, _numbered
+
+    rng = random.Random(4)
+    inside = {(p << 33) + i for p in (0, 1, 70) for i in rng.sample(range(300), 90)} | {63, 64, (70 << 33) + 127}
+    every = [(p << 33) + i for p in (0, 1, 2, 70) for i in range(300)]
+    rows = spark.createDataFrame([(i,) for i in every], "rid long").repartition(3)
+    for wanted in (inside, set()):
+        numbers = _numbered(rows.where(F.col("rid").isin(*wanted)) if wanted else rows.where("rid < 0"))
+        for side in (True, False):
+            got = [r["rid"] for r in rows.mapInArrow(_among(numbers, side), "rid long").collect()]
+            assert sorted(got) == sorted(i for i in every if (i in wanted) == side)
+
+
+def test_suffix_dedup_takes_texts_apart_in_portions():
+    """What a task holds is bounded by the texts' bytes, not by those of their compressed form."""
+    import pyarrow as pa
+
+    from quillmesh.llm.suffix_dedup import _cut, _portions
+
+    texts = [b"", b"a" * 900, b"b" * 300, b"", b"c" * 2500, b"d"]
+    none = pa.nulls(len(texts), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([len(t) for t in texts]), pa.array([zlib.compress(t) for t in texts]), none, none], names=["k0", "n_bytes", "packed", "spans", "words"])
+    parts = list(_portions(batch, 1000))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and max(sum(p["n_bytes"].to_pylist()) for p in parts) < 1000 + 2500
+    big = [b"x" * (3 << 20)] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([len(t) for t in big]), pa.array([zlib.compress(t) for t in big]), none[:5], none[:5]], names=batch.schema.names)
+    got = list(_cut(400, ["k0"], True)(iter([batch])))
+    assert [t for g in got for t in g["text"].to_pylist()] == [t.decode() for t in big] and max(g.num_rows for g in got) <= 2
+    assert not list(_cut(400, ["k0"], True)(iter([batch.slice(0, 0)])))[0].num_rows
+
+
 def test_suffix_dedup_nothing(nothing):
     assert suffix_dedup(nothing, with_passages=True).count() == 0
 
